@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "secrets")
+MODULES = ("packing", "secrets", "pii")
 
 
 def queries() -> dict:
