@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "secrets", "pii")
+MODULES = ("packing", "secrets", "pii", "quality_lm")
 
 
 def queries() -> dict:
