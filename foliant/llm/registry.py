@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "secrets", "pii", "quality_lm")
+MODULES = ("packing", "secrets", "pii", "quality_lm", "near_dup")
 
 
 def queries() -> dict:
