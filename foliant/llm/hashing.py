@@ -14,10 +14,8 @@ _powers = [np.ones(1, U), np.ones(1, U)]
 #: Bytes that part words: space and 9 to 13.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: ASCII other than letters and digits parts words; for matching that ignores case and punctuation.
+#: ASCII other than letters and digits parts words; for matching that ignores punctuation.
 PUNCT = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
-SAME = np.arange(256, dtype=np.uint8)
-LOWER = np.array([ord(chr(c).lower()) if c < 128 else c for c in range(256)], dtype=np.uint8)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,7 +51,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a batch of texts: hash, first byte, end byte, and for each text the range of its words (`first[i]` to `first[i + 1]`)."""
 
-    def __init__(self, column: pa.Array, part: np.ndarray = SPACE, as_: np.ndarray = SAME):
+    def __init__(self, column: pa.Array, part: np.ndarray = SPACE):
         self.data, self.at = buffers(column)
         n = len(self.data)
         inside = ~part[self.data]
@@ -72,7 +70,7 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         power, inverse = _power(n)
         total = np.zeros(n + 1, U)
-        np.cumsum(_BYTE[as_[self.data]] * power[:n], out=total[1:])
+        np.cumsum(_BYTE[self.data] * power[:n], out=total[1:])
         h = (total[self.end] - total[self.start]) * inverse[self.start]
         self.hash = mix(h ^ ((self.end - self.start).astype(U) * U(0xA0761D6478BD642F)))
         self.first = np.searchsorted(self.start, self.at)
