@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,7 +138,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
         def f(batch):
             plain, probability = similarity(Words(batch.column(2)), Words(batch.column(3)), batch.num_rows)
             linked = np.flatnonzero(np.maximum(plain, probability) >= threshold - 1e-12)
-            return {"a": batch.column(0).take(linked), "b": batch.column(1).take(linked)}
+            return {"a": batch.column(0).take(pa.array(linked)), "b": batch.column(1).take(pa.array(linked))}
 
         return f
 
