@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "secrets", "pii", "quality_lm", "near_dup", "decontaminate", "token_files")
+MODULES = ("packing", "secrets", "pii", "quality_lm", "near_dup", "decontaminate", "token_files", "licenses", "url_reputation", "importance")
 
 
 def queries() -> dict:
