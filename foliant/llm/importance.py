@@ -1,6 +1,6 @@
 """Operator 2, quality rules: base counts and a hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
-Words and pairs of words, in lower case, are hashed into `buckets` counters; one multinomial is counted over the text of all
+Tokens (runs of letters and digits, or of other marks, in lower case) and pairs of them are hashed into `buckets` counters; one multinomial is counted over the text of all
 trusted labelled documents (quality 1, not toxic), one over the raw corpus, both with one added to each counter. A document's
 ratio is the mean over its n-grams of log(trusted share / raw share), and it is kept if that is at least `least` and the base
 rules pass. All documents are counted and all are judged by the same fixed threshold.
@@ -59,20 +59,21 @@ def base(text: Column, ws: Column) -> Column:
 
 
 def features(ws: Column, buckets: int) -> Column:
-    """Buckets of the words and pairs of words."""
+    """Buckets of the tokens and pairs of tokens."""
     bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets).cast("long")).cast("int")
     pairs = F.when(F.size(ws) > 1, F.transform(F.sequence(F.lit(0), F.size(ws) - 2), lambda i: bucket(F.get(ws, i), F.get(ws, i + 1))))
     return F.concat(F.transform(ws, lambda w: bucket(w)), F.coalesce(pairs, F.array().cast("array<int>")))
 
 
-def low_words(text: Column) -> Column:
-    return words(F.lower(text))
+def tokens(text: Column) -> Column:
+    """Runs of letters and digits, and runs of other marks, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> list[float]:
     """log(trusted share / raw share) of each bucket; trusted has distinct doc_id."""
     flagged = docs.select("doc_id", "text").join(maybe_broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
-    grams = flagged.select("good", F.explode(let(low_words(F.col("text")), lambda ws: features(ws, buckets))).alias("bucket"))
+    grams = flagged.select("good", F.explode(let(tokens(F.col("text")), lambda ws: features(ws, buckets))).alias("bucket"))
     rows = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good")).collect()  # at most `buckets`
     raw, good = [1.0] * buckets, [1.0] * buckets
     for r in rows:
@@ -88,7 +89,7 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = 10_000, least: floa
     """One row for each document, as above."""
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     weight = F.array(*[F.lit(x) for x in weights(docs, trusted, buckets)])
-    ratio = let(let(low_words(F.col("text")), lambda ws: features(ws, buckets)), lambda g: F.aggregate(g, F.lit(0.0), lambda acc, k: acc + F.get(weight, k)) / F.size(g))
+    ratio = let(let(tokens(F.col("text")), lambda ws: features(ws, buckets)), lambda g: F.aggregate(g, F.lit(0.0), lambda acc, k: acc + F.get(weight, k)) / F.size(g))
     counts = let(words(F.col("text")), lambda ws: base(F.col("text"), ws))
     out = docs.select("doc_id", counts.alias("b"), ratio.alias("ratio"))
     failed = (F.col("b.n_words") < 50) | (100 * F.col("b.n_repeat_words") > 50 * F.col("b.n_words"))
