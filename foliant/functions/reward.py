@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import toks
+from foliant.functions.text import let, toks
 
 WEIGHTS = {"grounding": 0.45, "nonredundant": 0.25, "register": 0.20, "facet_prior": 0.10}
 
@@ -26,7 +26,8 @@ def grounded(token: Column, low_text: Column) -> Column:
 
 
 def grounding(subject: Column, low_text: Column) -> Column:
-    return _mean(F.transform(subject, lambda s: _share(toks(s), lambda t: grounded(t, low_text))))
+    """Mean share of a subject's tokens that stand in the document; low_text is taken once, not for each token."""
+    return let(low_text, lambda low: _mean(F.transform(subject, lambda s: let(toks(s), lambda ts: _share(ts, lambda t: grounded(t, low))))))
 
 
 def nonredundant(card: Column) -> Column:

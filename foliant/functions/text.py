@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ ANCHOR_OPEN = "Prefer these catalog topics when they genuinely fit: "
 ANCHOR_CLOSE = ". If the content"
 
 
+def let(value: Column, body_: Callable[[Column], Column]) -> Column:
+    """body_ over value, which is written and evaluated once however often body_ uses it."""
+    return F.element_at(F.transform(F.array(value), body_), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -80,7 +80,7 @@ def with_answers(df: DataFrame) -> DataFrame:
     time = F.when(b == 10, '"someday"').otherwise(_or_null(F.col("time")))
     flags = F.when(b == 7, '["a1", "a2", "a3", "a4", "a5"]').otherwise(quoted(F.col("content_flags")))
     card = card_text(subject, type_, _or_null(F.col("audience")), time, _or_null(F.col("purpose")), flags)
-    card = F.when(b == 2, "nothing to add").when(b == 3, F.concat(F.left(card, F.length(card) - 1), F.lit(",}"))).when(b == 8, F.concat(F.lit("```json\n"), card, F.lit("\n```"))).when(b == 9, F.concat(card, F.lit("\nThat is all."))).otherwise(card)
+    card = F.when(b == 2, "nothing to add").when(b == 3, F.concat(F.left(card, F.length(card) - 1), F.lit(", oops}"))).when(b == 8, F.concat(F.lit("```json\n"), card, F.lit("\n```"))).when(b == 9, F.concat(card, F.lit("\nThat is all."))).otherwise(card)
     thought = F.concat(F.lit("<think>"), F.repeat(F.lit(THOUGHT), F.when(b == 1, 3).otherwise(8)), F.lit("</think>\n"))
     return df.withColumn("content", F.when(b != 11, F.concat(thought, card)))
 
@@ -179,4 +179,4 @@ plain as (select *, '{{"subject": ' || case bucket when 5 then '["aa", "bb", "cc
   || ', "audience": ' || {_sql_null("audience")} || ', "time": ' || case bucket when 10 then '"someday"' else {_sql_null('"time"')} end || ', "purpose": ' || {_sql_null("purpose")}
   || ', "content_flags": ' || case bucket when 7 then '["a1", "a2", "a3", "a4", "a5"]' else {sql_quoted("content_flags")} end || '}}' card from spoilt),
 answers as (select *, case when bucket <> 11 then '<think>' || repeat('{THOUGHT}', case bucket when 1 then 3 else 8 end) || '</think>' || chr(10)
-  || case bucket when 2 then 'nothing to add' when 3 then left(card, length(card) - 1) || ',}}' when 8 then '```json' || chr(10) || card || chr(10) || '```' when 9 then card || chr(10) || 'That is all.' else card end end content from plain)"""
+  || case bucket when 2 then 'nothing to add' when 3 then left(card, length(card) - 1) || ', oops}}' when 8 then '```json' || chr(10) || card || chr(10) || '```' when 9 then card || chr(10) || 'That is all.' else card end end content from plain)"""
