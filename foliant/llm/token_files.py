@@ -14,8 +14,9 @@ then the words (u32). Id i is in lane i mod lanes at step i div lanes. Decoding
 the parts between checkpoints, decode in parallel; both checksums are verified.
 
 Writing: texts are dealt by range of doc_id and sorted, tokenized, and written once as raw blocks; ids are counted from
-those; then each raw block is encoded where it lies. A document is encoded by pieces: byte-level BPE never joins what a space
-before a letter parts, so each distinct piece is sent to the tokenizers library once in a while and kept in a bounded cache.
+those; then each raw block is encoded where it lies. A document is encoded by pieces: the vocabulary's pre-tokenizer always
+parts a text before a space that anything but white space follows, so each distinct piece is sent to the tokenizers library
+when a worker first meets it, and kept in a bounded cache.
 
 Defined results: a null or empty text is the end id alone; null ids come first; rows that repeat an id follow each other by
 text; an empty table gives an empty data set; columns other than id and text are not read.
@@ -28,8 +29,12 @@ import os
 import re
 import struct
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,15 +42,20 @@ from pyspark.sql import functions as F
 from foliant.llm.common import arrow_map, arrow_schema, shared_path, slices, table
 
 SCALE = 20
-LANES = 1024
+LANES = 4096
 CHECKPOINT = 128
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 END = 2
-CACHE = 300_000
+CACHE = 1_000_000
+#: Characters of a text that are split at a time.
+PART = 2_000_000
 MAGIC = b"RNS1"
 _LOW = np.uint64(1 << 31)
 _U32, _U64 = np.uint64(32), np.uint64
-_PIECES = re.compile(r"(?= [^\W\d_])")
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ʯ]+)([.,]?)")
+#: Byte-level BPE writes each byte as a letter: bytes that aren't printable in Latin-1 as the letters from 256 on, in order.
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+_ODD_SPACE = re.compile(r" (?:\s|\Z)")
 
 
 def frequencies(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -148,21 +158,76 @@ class Encoder:
             path = public_tokenizers.path("byte_bpe_50k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
+        self.dtype = np.dtype(f"<u{self.width}")
         self.cache: dict[str, bytes] = {}
+        self.marks = {c: self.tokenizer.token_to_id(c) for c in ".,"}
+        self.end = array(self.code, [END]).tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of a space and each word. A word of Latin letters, with a mark behind or none, is one or two pre-tokens and goes to the model itself."""
+        tokenize, code, out, rest = self.tokenizer.model.tokenize, self.code, [b""] * len(words), []
+        for k, w in enumerate(words):
+            if m := _LETTERS.fullmatch(w):
+                a = m[1]
+                ids = [t.id for t in tokenize("Ġ" + (a if a.isascii() else a.encode().decode("latin-1").translate(_BYTE_LETTERS)))]
+                if m[2]:
+                    ids.append(self.marks[m[2]])
+                out[k] = array(code, ids).tobytes()
+            else:
+                rest.append(k)
+        for k, ids in zip(rest, self._plain([" " + words[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [_PIECES.split(t) if t else [] for t in texts]
-        new = list({p for ps in pieces for p in ps}.difference(self.cache))
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        ids = []
+        for at in range(0, len(texts), 4096):
+            ids += [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+        return ids
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of a space and each of the distinct words."""
+        new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
-            new = list({p for ps in pieces for p in ps})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(e.ids, self.dtype).tobytes()
-        end, get = np.array([END], self.dtype).tobytes(), self.cache.__getitem__
-        return [b"".join([*map(get, ps), end]) for ps in pieces]
+            new = words
+        self.cache.update(zip(new, self._words(new), strict=True))
+        return list(map(self.cache.__getitem__, words))
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        # a piece is a space and what follows it; a text with a space before white space or at its end is encoded as it is
+        heads, owners, tails = [], [], []
+        for k, t in enumerate(texts):
+            head, space, tail = (t, "", "") if not t or _ODD_SPACE.search(t) else t.partition(" ")
+            heads.append(head or "")
+            while space:
+                cut = tail.find(" ", PART) if len(tail) > PART else -1
+                owners.append(k)
+                tails.append(tail if cut < 0 else tail[:cut])
+                space, tail = ("", "") if cut < 0 else (" ", tail[cut + 1 :])
+        out = [[h] for h in self._plain(heads)]
+        if tails:
+            split = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
+            coded = split.flatten().dictionary_encode()
+            known = self._known(coded.dictionary.to_pylist())
+            size = np.array([len(x) for x in known], np.int64) // self.width
+            start = np.cumsum(size) - size
+            which = coded.indices.to_numpy()
+            n, ids = size[which], np.frombuffer(b"".join(known), self.dtype)
+            upto = np.concatenate([[0], np.cumsum(n)])
+            flat = ids[np.repeat(start[which] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+            at = upto[split.offsets.to_numpy() - split.offsets[0].as_py()] * self.width
+            for k, a, b in zip(owners, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                out[k].append(flat[a:b])
+        return [b"".join([*x, self.end]) for x in out]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str | None) -> Encoder:
+    """One for each Python worker, whose tasks share its cache."""
+    return Encoder(path)
 
 
 def raw_blocks(docs: DataFrame, path: str | None) -> DataFrame:
@@ -172,10 +237,8 @@ def raw_blocks(docs: DataFrame, path: str | None) -> DataFrame:
     target = arrow_schema(docs.sparkSession, ddl)
 
     def run(batches):
-        import pyarrow as pa
-
-        encode, shard = Encoder(path), TaskContext.get().partitionId()
-        width = encode.dtype.itemsize
+        encode, shard = encoder(path), TaskContext.get().partitionId()
+        width = encode.width
         ids, parts, held, block, offset = [], [], 0, 0, 0
 
         def flush():
@@ -203,6 +266,12 @@ def plain_ids(raw: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def write(docs: DataFrame, target: str, tokenizer_path: str | None = None) -> None:
     """Writes the data set of docs to target."""
     spark, raw_path = docs.sparkSession, shared_path(docs.sparkSession, "raw-blocks")
@@ -210,8 +279,7 @@ def write(docs: DataFrame, target: str, tokenizer_path: str | None = None) -> No
     schema = raw.schema
     raw.write.option("compression", "zstd").parquet(raw_path)
     del raw
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffled texts, which nothing needs any more
+    release(spark)
     raw = spark.read.schema(schema).parquet(raw_path)
 
     def count():
@@ -228,6 +296,7 @@ def write(docs: DataFrame, target: str, tokenizer_path: str | None = None) -> No
         return f
 
     counts = arrow_map(raw.select("ids", "width"), count, "symbol bigint, n bigint", "ids").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
+    release(spark)
     symbols, n = counts.column("symbol").to_numpy(), counts.column("n").to_numpy()
     total = np.zeros(int(symbols.max()) + 1 if len(symbols) else 1, np.int64)
     total[symbols] = n
