@@ -81,7 +81,8 @@ def topic_rollup(df: DataFrame) -> DataFrame:
     n = F.count_if(good)
     of = lambda c: F.sum(F.when(good, c))
     graded = of(F.size("grades"))
-    shares = [_ratio(of(F.size(F.filter("grades", lambda g, k=k: g == k))), graded).alias(f"topic_{k}") for k in GRADES]
+    graded_as = lambda k: of(F.size(F.filter("grades", lambda g: g == k)))
+    shares = [_ratio(graded_as(k), graded).alias(f"topic_{k}") for k in GRADES]
     return df.groupingSets([["mode"], []], "mode").agg(
         F.coalesce("mode", F.lit("ALL")).alias("bucket"), n.alias("docs"), F.count_if("failed").alias("failures"), *shares, _ratio(F.count_if(good & faithful(F.col("grades"), F.col("missed"))), n).alias("faithful"),
         _ratio(of(F.col("missed")), n).alias("missed_avg"), F.try_divide(of(F.col("tags_apt")).cast("double"), of(F.col("n_tags")).cast("double")).alias("tags_apt_rate"),
