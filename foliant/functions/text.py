@@ -122,7 +122,8 @@ def candidate(text: Column) -> Column:
 
 
 def clamp(value: Column, high: int = 3) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(high), value.try_cast("int")))
+    """Within 0 and high; null for what is no number."""
+    return let(value.try_cast("int"), lambda n: F.when(n.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(high), n))))
 
 
 def card_json(subject, type_, audience, time, purpose, flags) -> Column:
