@@ -89,7 +89,7 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = 10_000, least: floa
     """One row for each document, as above."""
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     weight = F.expr("array(" + ", ".join(f"{x!r}D" for x in weights(docs, trusted, buckets)) + ")")
-    ratio = let(let(tokens(F.col("text")), lambda ws: features(ws, buckets)), lambda g: F.aggregate(g, F.lit(0.0), lambda acc, k: acc + F.get(weight, k)) / F.size(g))
+    ratio = let(let(tokens(F.col("text")), lambda ws: features(ws, buckets)), lambda g: F.try_divide(F.aggregate(g, F.lit(0.0), lambda acc, k: acc + F.get(weight, k)), F.size(g)))
     counts = let(words(F.col("text")), lambda ws: base(F.col("text"), ws))
     out = docs.select("doc_id", counts.alias("b"), ratio.alias("ratio"))
     failed = (F.col("b.n_words") < 50) | (100 * F.col("b.n_repeat_words") > 50 * F.col("b.n_words"))

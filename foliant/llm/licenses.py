@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import let, table
 
 #: Words without which no sentence pattern can match; of the raw text in lower case.
-KEYWORDS = "licen|copyright|warrant|permission|redistribut|public domain|spdx|liab|all rights"
+KEYWORDS = "licen|copyright|warrant|permission|redistribut|public domain|spdx|endorse|cc0|all rights"
 #: (identifier, pattern over the normalised sentence); the first that matches counts.
 SENTENCES = [
     ("spdx-apache2", r"spdx license identifier apache 2\.0"),
