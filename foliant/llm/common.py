@@ -15,7 +15,9 @@ SPACES = r"[\x20\x09-\x0D]"
 #: Rows of a two-column join side that may be broadcast (about 64 MB as a hash relation); beyond it both sides are shuffled.
 MAX_BROADCAST_ROWS = 1_000_000
 #: Bytes of text that a Python worker handles at a time; one longer text is a batch of its own.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
+#: Rows and bytes that Spark sends to a Python worker at a time, at most.
+SENT_ROWS, SENT_BYTES = 2_000, 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +43,8 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its rows, counted up to the bound, are few enough; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """df with a broadcast hint if its counted rows are few enough; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -71,8 +73,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession) -> None:
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= SENT_ROWS:
+        spark.conf.set(rows, SENT_ROWS)
+    if not spark.conf.get(size).removesuffix("b").isdigit() or int(spark.conf.get(size).removesuffix("b")) > SENT_BYTES:
+        spark.conf.set(size, SENT_BYTES)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, column: str = "text", limit: int = BATCH_BYTES) -> DataFrame:
-    """mapInArrow of make()'s function, which turns a batch into columns; make() runs once in each task."""
+    """mapInArrow of make()'s function, which turns a batch into columns; make() runs once in each task.
+
+    So that executors stay within their memory, the session's Arrow batches are made smaller where they are larger than SENT_ROWS or SENT_BYTES."""
+    small_batches(df.sparkSession)
 
     def run(batches):
         f = make()

@@ -36,6 +36,8 @@ from foliant.llm.hashing import PUNCT, U, Words, chain
 SAMPLES = 2
 #: Longest run that is looked up.
 RUN = 3
+#: Bytes of text that a worker searches at a time.
+PART = 2_000_000
 _TABLE = 20
 
 
@@ -248,7 +250,7 @@ def search(docs: DataFrame, items: DataFrame, edits: float = 0.2, min_words: int
 
             return f
 
-        out = out.unionByName(arrow_map(docs, make, ddl))
+        out = out.unionByName(arrow_map(docs, make, ddl, limit=PART))
     return out
 
 
@@ -270,7 +272,7 @@ def filter_rows(docs: DataFrame, items: DataFrame, edits: float = 0.2, min_words
 
             return f
 
-        docs = arrow_map(docs, make, ddl)
+        docs = arrow_map(docs, make, ddl, limit=PART)
     return docs
 
 

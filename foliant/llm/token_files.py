@@ -34,19 +34,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import arrow_map, arrow_schema, shared_path, slices, table
+from foliant.llm.common import arrow_map, arrow_schema, shared_path, slices, small_batches, table
+from foliant.llm.hashing import Words, chain
 
 SCALE = 20
 LANES = 4096
 CHECKPOINT = 128
 BLOCK = 1 << 20
 END = 2
-CACHE = 1_000_000
+#: Slots of a worker's cache of pieces, as a power of two; five eighths of them are filled at most.
+CACHE_BITS = 22
 #: Characters of a text that are split at a time.
 PART = 2_000_000
 MAGIC = b"RNS1"
@@ -55,6 +56,8 @@ _U32, _U64 = np.uint64(32), np.uint64
 _LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ʯ]+)([.,]?)")
 #: Byte-level BPE writes each byte as a letter: bytes that aren't printable in Latin-1 as the letters from 256 on, in order.
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+#: Only a space parts pieces.
+BLANK = np.arange(256) == 32
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 
 
@@ -145,6 +148,85 @@ class Coder:
         return out
 
 
+class Pieces:
+    """Bounded cache from words to ids: open addressing over numpy arrays, looked up for all words of a batch at once.
+
+    A word is known by its 64-bit hash together with 64 bits of its length, first and last eight bytes."""
+
+    def __init__(self, dtype: np.dtype, bits: int = CACHE_BITS):
+        self.dtype, self.bits = dtype, bits
+        self.clear()
+
+    def clear(self) -> None:
+        slots = 1 << self.bits
+        self.hash, self.check = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.start, self.n = np.zeros(slots, np.int64), np.zeros(slots, np.int32)
+        self.ids, self.held, self.used = np.zeros(1 << 16, self.dtype), 0, 0
+
+    @staticmethod
+    def checks(w: Words) -> np.ndarray:
+        padded = np.concatenate([np.zeros(8, np.uint8), w.data, np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(padded) - 7, 8), (1, 1))
+        length = w.end - w.start
+        head, tail = (np.ascontiguousarray(eight[at]).view(np.uint64).ravel() for at in (w.start + 8, w.end))
+        keep = np.where(length < 8, (_U64(1) << (_U64(8) * np.minimum(length, 7).astype(np.uint64))) - _U64(1), ~_U64(0))
+        tail_keep = np.where(length < 8, _U64(0), ~_U64(0))
+        return chain([head & keep, tail & tail_keep, length.astype(np.uint64)])
+
+    def slots(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The slot of each word, or -1."""
+        slot = (h >> _U64(64 - self.bits)).astype(np.int64)
+        out, open_ = np.full(len(h), -1), np.arange(len(h))
+        while len(open_):
+            at = slot[open_]
+            there = self.hash[at]
+            found = (there == h[open_]) & (self.check[at] == check[open_])
+            out[open_[found]] = at[found]
+            open_ = open_[~found & (there != 0)]
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, h: np.ndarray, check: np.ndarray, coded: list[bytes]) -> None:
+        """Distinct new words."""
+        size = np.array([len(c) for c in coded], np.int64) // self.dtype.itemsize
+        new = np.frombuffer(b"".join(coded), self.dtype)
+        while self.held + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.held : self.held + len(new)] = new
+        start = self.held + np.cumsum(size) - size
+        slot, open_ = (h >> _U64(64 - self.bits)).astype(np.int64), np.arange(len(h))
+        while len(open_):
+            free = open_[self.hash[slot[open_]] == 0]
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            at = slot[won]
+            self.hash[at], self.check[at], self.start[at], self.n[at] = h[won], check[won], start[won], size[won]
+            left = np.ones(len(h), bool)
+            left[won] = False
+            open_ = open_[left[open_]]
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+        self.held, self.used = self.held + len(new), self.used + len(h)
+
+    def __call__(self, w: Words, encode) -> tuple[np.ndarray, np.ndarray]:
+        """First place in ids and number of ids of every word."""
+        h, check = w.hash | _U64(1), self.checks(w)
+        slot = self.slots(h, check)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            _, first = np.unique(h[missing] ^ (check[missing] << _U64(1)), return_index=True)
+            new = missing[first]
+            if self.used + len(new) > (1 << self.bits) * 5 // 8 and self.used:
+                self.clear()
+                return self(w, encode)
+            if len(new) > (1 << self.bits) * 5 // 8:  # one batch with more distinct words than the cache holds
+                self.bits = len(new).bit_length() + 1
+                self.clear()
+            raw = w.data.tobytes()
+            self.add(h[new], check[new], encode([raw[a:b].decode() for a, b in zip(w.start[new].tolist(), w.end[new].tolist(), strict=True)]))
+            slot[missing] = self.slots(h[missing], check[missing])
+        return self.start[slot], self.n[slot]
+
+
 class Encoder:
     """Ids of texts as bytes, through the tokenizers library and a bounded cache of pieces."""
 
@@ -161,7 +243,7 @@ class Encoder:
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.dtype = np.dtype(f"<u{self.width}")
-        self.cache: dict[str, bytes] = {}
+        self.pieces = Pieces(self.dtype)
         self.marks = {c: self.tokenizer.token_to_id(c) for c in ".,"}
         self.end = array(self.code, [END]).tobytes()
 
@@ -187,15 +269,6 @@ class Encoder:
             ids += [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
         return ids
 
-    def _known(self, words: list[str]) -> list[bytes]:
-        """Ids of a space and each of the distinct words."""
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = words
-        self.cache.update(zip(new, self._words(new), strict=True))
-        return list(map(self.cache.__getitem__, words))
-
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         # a piece is a space and what follows it; a text with a space before white space or at its end is encoded as it is
         heads, owners, tails = [], [], []
@@ -209,16 +282,11 @@ class Encoder:
                 space, tail = ("", "") if cut < 0 else (" ", tail[cut + 1 :])
         out = [[h] for h in self._plain(heads)]
         if tails:
-            split = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
-            coded = split.flatten().dictionary_encode()
-            known = self._known(coded.dictionary.to_pylist())
-            size = np.array([len(x) for x in known], np.int64) // self.width
-            start = np.cumsum(size) - size
-            which = coded.indices.to_numpy()
-            n, ids = size[which], np.frombuffer(b"".join(known), self.dtype)
-            upto = np.concatenate([[0], np.cumsum(n)])
-            flat = ids[np.repeat(start[which] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
-            at = upto[split.offsets.to_numpy() - split.offsets[0].as_py()] * self.width
+            words = Words(pa.array(tails, pa.large_string()), BLANK)
+            start, n = self.pieces(words, self._words)
+            upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+            flat = self.pieces.ids[np.repeat(start - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+            at = upto[words.first] * self.width
             for k, a, b in zip(owners, at[:-1].tolist(), at[1:].tolist(), strict=True):
                 out[k].append(flat[a:b])
         return [b"".join([*x, self.end]) for x in out]
@@ -235,6 +303,7 @@ def raw_blocks(docs: DataFrame, path: str | None) -> DataFrame:
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ddl = "shard int, block int, offset bigint, n_tokens bigint, width int, doc_ids array<bigint>, lengths array<int>, ids binary"
     target = arrow_schema(docs.sparkSession, ddl)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         encode, shard = encoder(path), TaskContext.get().partitionId()
