@@ -1,17 +1,18 @@
 """Operator 3, near duplicates: ProbMinHash signatures, banding, exact verification, connected classes.
 
 A document is the weighted set of its windows of five words (all its words, if fewer), a window seen c times weighing
-1 + ln(c). Each window is a Poisson process whose rate is its weight; every arrival falls into a random one of the
-`bands * rows` signature places, and a place keeps the window that arrives first. A window stops as soon as its next arrival
-is later than the last place's first one (early termination), so two signatures agree in a place with the probability
-Jaccard similarity of the sets. Documents that agree in all places of a band are candidates; with 20 bands of 4 a pair of
-similarity 0.8 is missed with probability 3e-5. Candidates are verified exactly: linked if the probability Jaccard
-similarity or the plain one of the sets of windows reaches `threshold`.
+1 + ln(c). Each window is a Poisson process whose rate is its weight; every arrival falls into a random one of PLACES
+signature places, and a place keeps the window that arrives first. A window stops as soon as its next arrival is later than
+the last place's first one (early termination), so two signatures agree in a place with the probability Jaccard similarity
+of the sets. Documents that agree in all places of a band meet in a bucket; with 20 bands of 4 a pair of similarity 0.8 is
+missed with probability 3e-5. Of those that meet, pairs whose signatures agree in too few of all places, compared by BITS bits
+of each, are no candidates; the bound loses one pair in 100,000 at the threshold. Candidates are
+verified exactly: linked if the probability Jaccard similarity or the plain one of the sets of windows reaches `threshold`.
 
 Scale: exact copies are collapsed first, with partial aggregation, so a group of copies costs one candidate. In a bucket
 each member is compared with the bucket's least id alone, which joins any number of near copies in linear time; classes are
 then formed, and only buckets that still hold several classes are compared further, with 16, 256, ... pivots in turn until
-every pair of different classes in them has been tested. Text is read again only for candidates. All intermediate tables are
+every pair of different classes in them has been tested, in the first bucket that it shares. Text is read again only for candidates. All intermediate tables are
 written to the shared folder; nothing of the corpus reaches the driver but counts.
 
 Result: one row for each document: doc_id, class_id (least id of its class), kept (whether it is that document).
@@ -23,16 +24,21 @@ text are not read.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import arrow_map, maybe_broadcast, stored, table
 from foliant.llm.hashing import U, Words, chain, mix
 
 SHINGLE = 5
+#: Places of a signature; a multiple of 64.
+PLACES = 384
+#: Bits of each place that are compared.
+BITS = 4
 
 
 def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,21 +88,22 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_docs:
 
 
 def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, fp (digest of the text), bands (null without words) of every row."""
+    """doc_id, fp (digest of the text), bands (null without words) and BITS bits of each place, by 64, of every row."""
 
     def make():
         def f(batch):
             w = Words(batch.column(1))
             d, h, times = shingles(w)
-            sign = signatures(d, h, 1.0 + np.log(times), batch.num_rows, bands * rows)
+            sign = signatures(d, h, 1.0 + np.log(times), batch.num_rows, PLACES)
             keys = np.stack([chain([np.full(batch.num_rows, b, U), *(sign[:, b * rows + r] for r in range(rows))]) for b in range(bands)], axis=1).view(np.int64)
+            bits = np.stack([np.packbits(((sign >> U(k)) & U(1)).astype(np.uint8), axis=1).view(np.int64) for k in range(BITS)], axis=1).reshape(batch.num_rows, -1)
             some = np.diff(w.first) > 0
             digests = [hashlib.md5((t or "").encode()).digest() for t in batch.column(1).to_pylist()]
-            return {"doc_id": batch.column(0), "fp": digests, "bands": [k if s else None for k, s in zip(keys.tolist(), some, strict=True)]}
+            return {"doc_id": batch.column(0), "fp": digests, "bands": [k if s else None for k, s in zip(keys.tolist(), some, strict=True)], "bits": list(bits)}
 
         return f
 
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id bigint, fp binary, bands array<bigint>")
+    return arrow_map(docs.select("doc_id", "text"), make, "doc_id bigint, fp binary, bands array<bigint>, bits array<bigint>")
 
 
 def similarity(a: Words, b: Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +135,26 @@ def similarity(a: Words, b: Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return plain, probability
 
 
+def least_agreement(threshold: float, loss: float = 1e-5) -> int:
+    """Places in which two signatures of the threshold's similarity agree, by their bits, but for a share `loss` of the pairs."""
+    p, total = threshold + (1 - threshold) / 2**BITS, 0.0
+    term = (1 - p) ** PLACES
+    for k in range(PLACES):
+        total += term
+        if total > loss:
+            return k
+        term *= (PLACES - k) / (k + 1) * p / (1 - p)
+    return PLACES
+
+
+def agreeing(a: Column, b: Column) -> Column:
+    """Number of places that agree in all bits."""
+    n = PLACES // 64
+    xor = lambda k: F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+    differ = [F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), [xor(j * n + k) for j in range(BITS)])) for k in range(n)]
+    return F.lit(PLACES) - sum(differ[1:], differ[0])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts reach the threshold."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -163,25 +190,31 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int
     """doc_id, class_id, kept of every row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sketches = stored(sketch(docs, bands, rows), "sketches")
+    least = least_agreement(threshold)
     worded = sketches.where("bands is not null")
-    one = worded.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n"))
-    one = stored(one, "texts-once")
-    entries = one.where("rep is not null").select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
+    one = worded.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "bits"), "doc_id").alias("s"))
+    one = stored(one.select("fp", "rep", "s.*"), "texts-once")
+    entries = one.where("rep is not null").select(F.posexplode("bands").alias("band", "bucket"), F.col("rep").alias("id"))
     centres = stored(entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("far")).where("centre < far").select("bucket", "centre"), "centres")
-    members = stored(entries.join(centres, "bucket"), "members")
-    pairs = stored(members.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    members = entries.join(centres, "bucket")
+    bits = one.where("rep is not null").select(F.col("rep").alias("id"), "bits", "bands")
+    members = stored(members.join(bits, "id"), "members")
+    pairs = members.where("id != centre").select("centre", "id", "bits").distinct().join(bits.select(F.col("id").alias("centre"), F.col("bits").alias("bits_b")), "centre")
+    pairs = stored(pairs.where(agreeing(F.col("bits"), F.col("bits_b")) >= least).select(F.col("centre").alias("a"), F.col("id").alias("b")), "pairs")
     tested, edges = pairs, stored(verified(pairs, docs, threshold), "links")
     labels, ranks = components(edges), 0
     while True:
-        rows_ = members.join(labels.toDF("id", "label"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+        rows_ = members.join(labels.toDF("id", "label"), "id", "left").select("bucket", "band", "id", "bits", "bands", F.coalesce("label", "id").alias("label"))
         spread = rows_.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).where(f"least < most and size > {ranks}")
         spread = stored(spread.select("bucket", "size"), "open")
         if spread.isEmpty():
             break
         upto = ranks * pivots or pivots
         ranked = stored(rows_.join(spread, "bucket").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("id", "bucket"), "id"))), "ranked")
-        p = ranked.where(f"rank > {ranks} and rank <= {upto}").select("bucket", F.col("id").alias("pivot"), F.col("label").alias("other"))
-        more = ranked.join(p, "bucket").where("label != other").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        p = ranked.where(f"rank > {ranks} and rank <= {upto}").select("bucket", F.col("rank").alias("before"), F.col("id").alias("pivot"), F.col("label").alias("other"), F.col("bits").alias("bits_b"), F.col("bands").alias("bands_b"))
+        # each pair once: in the first bucket that it shares, from the pivot that comes first
+        new = reduce(lambda x, k: x & ~((F.col("band") > k) & (F.get("bands", F.lit(k)) == F.get("bands_b", F.lit(k)))), range(bands - 1), (F.col("rank") > F.col("before")) & (F.col("label") != F.col("other")))
+        more = ranked.join(p, "bucket").where(new & (agreeing(F.col("bits"), F.col("bits_b")) >= least)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         more = stored(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         ranks = upto
         if not more.isEmpty():
