@@ -517,3 +517,24 @@ def test_digests(spark):
 def test_redaction_keeps_rows_and_columns(odd):
     out = pii.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and out.where("n_chars != length(text)").count() == 0
+
+
+@pytest.mark.parametrize("name", ["licenses", "importance", "packing"])
+def test_native_operators_plan_no_python(odd, name):
+    plan = SCANS[name](odd)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_url_reputation_plans_no_python_and_reads_few_columns(spark):
+    from foliant.llm.common import table
+
+    pages = table(spark, "/root/testdata/sf0.001", "pages")
+    plan = url_reputation.judge(pages, pages.select("url", url_reputation.page_outcome(F.col("html")).alias("good")))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan) and "ReadSchema: struct<page_id:bigint,url:string>" in plan
+
+
+def test_broadcasts_only_behind_a_count(spark):
+    from foliant.llm.common import maybe_broadcast
+
+    plan = lambda n: spark.range(100).join(maybe_broadcast(spark.range(50), n), "id")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(50) and "broadcast" not in plan(49)
