@@ -47,7 +47,7 @@ CHECKPOINT = 128
 BLOCK = 1 << 20
 END = 2
 #: Slots of a worker's cache of pieces, as a power of two; five eighths of them are filled at most.
-CACHE_BITS = 22
+CACHE_BITS = 21
 #: Characters of a text that are split at a time.
 PART = 2_000_000
 MAGIC = b"RNS1"
@@ -160,7 +160,7 @@ class Pieces:
     def clear(self) -> None:
         slots = 1 << self.bits
         self.hash, self.check = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
-        self.start, self.n = np.zeros(slots, np.int64), np.zeros(slots, np.int32)
+        self.start, self.n = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self.ids, self.held, self.used = np.zeros(1 << 16, self.dtype), 0, 0
 
     @staticmethod
