@@ -4,9 +4,11 @@ A document is the weighted set of its windows of five words (all its words, if f
 1 + ln(c). Each window is a Poisson process whose rate is its weight; every arrival falls into a random one of PLACES
 signature places, and a place keeps the window that arrives first. A window stops as soon as its next arrival is later than
 the last place's first one (early termination), so two signatures agree in a place with the probability Jaccard similarity
-of the sets. Documents that agree in all places of a band meet in a bucket; with 20 bands of 4 a pair of similarity 0.8 is
-missed with probability 3e-5. Of those that meet, pairs whose signatures agree in too few of all places, compared by BITS bits
-of each, are no candidates; the bound loses one pair in 100,000 at the threshold. Candidates are
+of the sets. A document that repeats windows has a second signature in which each weighs 1, for plain Jaccard similarity; in
+any other document both are the same. Documents that agree in all places of a band, of either signature, meet in a bucket;
+with 20 bands of 4 a pair of either similarity 0.8 is missed with probability 3e-5. Of those that meet, pairs that agree in too
+few of all places, compared by BITS bits of each, in both kinds of signature, are no candidates; the bound loses one pair in
+100,000 at the threshold. Candidates are
 verified exactly: linked if the probability Jaccard similarity or the plain one of the sets of windows reaches `threshold`.
 
 Scale: exact copies are collapsed first, with partial aggregation, so a group of copies costs one candidate. In a bucket
@@ -88,18 +90,30 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_docs:
 
 
 def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, fp (digest of the text), bands (null without words) and BITS bits of each place, by 64, of every row."""
+    """doc_id, fp (digest of the text), bands (null without words) and BITS bits of each place, by 64, of every row.
+
+    Where windows repeat, both arrays go on with those of the plain signature; bands that are the same are null in it."""
 
     def make():
+        def keyed(sign):
+            keys = np.stack([chain([np.full(len(sign), b, U), *(sign[:, b * rows + r] for r in range(rows))]) for b in range(bands)], axis=1).view(np.int64)
+            return keys, np.stack([np.packbits(((sign >> U(k)) & U(1)).astype(np.uint8), axis=1).view(np.int64) for k in range(BITS)], axis=1).reshape(len(sign), -1)
+
         def f(batch):
             w = Words(batch.column(1))
             d, h, times = shingles(w)
-            sign = signatures(d, h, 1.0 + np.log(times), batch.num_rows, PLACES)
-            keys = np.stack([chain([np.full(batch.num_rows, b, U), *(sign[:, b * rows + r] for r in range(rows))]) for b in range(bands)], axis=1).view(np.int64)
-            bits = np.stack([np.packbits(((sign >> U(k)) & U(1)).astype(np.uint8), axis=1).view(np.int64) for k in range(BITS)], axis=1).reshape(batch.num_rows, -1)
+            keys, bits = keyed(signatures(d, h, 1.0 + np.log(times), batch.num_rows, PLACES))
             some = np.diff(w.first) > 0
+            bands_, bits_ = [k if s else None for k, s in zip(keys.tolist(), some, strict=True)], list(bits)
+            repeats = np.bincount(d[times > 1], minlength=batch.num_rows) > 0
+            if repeats.any():
+                on = repeats[d]
+                plain = keyed(signatures((np.cumsum(repeats) - 1)[d[on]], h[on], np.ones(on.sum()), int(repeats.sum()), PLACES))
+                for r, key, bit in zip(np.flatnonzero(repeats).tolist(), *plain, strict=True):
+                    bands_[r] = bands_[r] + [k if k != was else None for k, was in zip(key.tolist(), bands_[r], strict=True)]
+                    bits_[r] = np.concatenate([bits_[r], bit])
             digests = [hashlib.md5((t or "").encode()).digest() for t in batch.column(1).to_pylist()]
-            return {"doc_id": batch.column(0), "fp": digests, "bands": [k if s else None for k, s in zip(keys.tolist(), some, strict=True)], "bits": list(bits)}
+            return {"doc_id": batch.column(0), "fp": digests, "bands": bands_, "bits": bits_}
 
         return f
 
@@ -147,14 +161,24 @@ def least_agreement(threshold: float, loss: float = 1e-5) -> int:
     return PLACES
 
 
-def agreeing(a: Column, b: Column) -> Column:
+def part(x: Column, k: int, plain: int = 0) -> Column:
+    """Item k of the bands or bits; with their number as `plain`, that of the plain signature."""
+    return F.coalesce(F.get(x, F.lit(plain + k)), F.get(x, F.lit(k))) if plain else F.get(x, F.lit(k))
+
+
+def agreeing(a: Column, b: Column, plain: int = 0) -> Column:
     """Number of places that agree in all bits."""
     n = PLACES // 64
-    xor = lambda k: F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+    xor = lambda k: part(a, k, plain).bitwiseXOR(part(b, k, plain))
     differ = [F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), [xor(j * n + k) for j in range(BITS)])) for k in range(n)]
     return F.lit(PLACES) - sum(differ[1:], differ[0])
 
 
+def alike(a: Column, b: Column, least: int) -> Column:
+    """Whether the signatures of either kind agree in so many places."""
+    return (agreeing(a, b) >= least) | (agreeing(a, b, BITS * PLACES // 64) >= least)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts reach the threshold."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -194,13 +218,14 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int
     worded = sketches.where("bands is not null")
     one = worded.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "bits"), "doc_id").alias("s"))
     one = stored(one.select("fp", "rep", "s.*"), "texts-once")
-    entries = one.where("rep is not null").select(F.posexplode("bands").alias("band", "bucket"), F.col("rep").alias("id"))
+    entries = one.where("rep is not null").select(F.posexplode("bands").alias("at", "bucket"), F.col("rep").alias("id")).where("bucket is not null")
+    entries = entries.select((F.col("at") % bands).alias("band"), "bucket", "id")
     centres = stored(entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("far")).where("centre < far").select("bucket", "centre"), "centres")
     members = entries.join(centres, "bucket")
     bits = one.where("rep is not null").select(F.col("rep").alias("id"), "bits", "bands")
     members = stored(members.join(bits, "id"), "members")
     pairs = members.where("id != centre").select("centre", "id", "bits").distinct().join(bits.select(F.col("id").alias("centre"), F.col("bits").alias("bits_b")), "centre")
-    pairs = stored(pairs.where(agreeing(F.col("bits"), F.col("bits_b")) >= least).select(F.col("centre").alias("a"), F.col("id").alias("b")), "pairs")
+    pairs = stored(pairs.where(alike(F.col("bits"), F.col("bits_b"), least)).select(F.col("centre").alias("a"), F.col("id").alias("b")), "pairs")
     tested, edges = pairs, stored(verified(pairs, docs, threshold), "links")
     labels, ranks = components(edges), 0
     while True:
@@ -212,9 +237,10 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int
         upto = ranks * pivots or pivots
         ranked = stored(rows_.join(spread, "bucket").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("id", "bucket"), "id"))), "ranked")
         p = ranked.where(f"rank > {ranks} and rank <= {upto}").select("bucket", F.col("rank").alias("before"), F.col("id").alias("pivot"), F.col("label").alias("other"), F.col("bits").alias("bits_b"), F.col("bands").alias("bands_b"))
-        # each pair once: in the first bucket that it shares, from the pivot that comes first
-        new = reduce(lambda x, k: x & ~((F.col("band") > k) & (F.get("bands", F.lit(k)) == F.get("bands_b", F.lit(k)))), range(bands - 1), (F.col("rank") > F.col("before")) & (F.col("label") != F.col("other")))
-        more = ranked.join(p, "bucket").where(new & (agreeing(F.col("bits"), F.col("bits_b")) >= least)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        # each pair once: in the first bucket that it shares by signatures of one kind, from the pivot that comes first
+        shares = lambda k, plain: part(F.col("bands"), k, plain) == part(F.col("bands_b"), k, plain)
+        new = reduce(lambda x, k: x & ~((F.col("band") > k) & (shares(k, 0) | shares(k, bands))), range(bands - 1), (F.col("rank") > F.col("before")) & (F.col("label") != F.col("other")))
+        more = ranked.join(p, "bucket").where(new & alike(F.col("bits"), F.col("bits_b"), least)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         more = stored(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         ranks = upto
         if not more.isEmpty():

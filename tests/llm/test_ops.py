@@ -161,6 +161,23 @@ def test_probability_jaccard_is_exact():
     assert abs(plain[0] - jaccard(a, b)) < 1e-12 and abs(probability[0] - want) < 1e-9
 
 
+def test_copies_with_a_repeated_phrase(spark):
+    texts = []
+    for g in range(12):
+        words, phrase = [f"g{g}w{k}" for k in range(200 if g % 2 else 60)], [f"g{g}p{k}" for k in range(40 if g % 2 else 5)]
+        texts += [" ".join(words), " ".join(words + phrase * 100)]
+        assert jaccard(*texts[-2:]) >= 0.8
+    got = {r.doc_id: r.class_id for r in near_dup.classes(docs(spark, texts)).collect()}
+    assert got == {k: k - k % 2 for k in range(24)}
+
+
+def test_repeated_phrases_in_one_large_group(spark):
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join([edited(words, 1, s), *([f"p{s}"] * 5 + ["q"]) * (3 + 20 * (s % 3))]) for s in range(60)]
+    got = near_dup.classes(docs(spark, texts), pivots=2).collect()
+    assert {r.class_id for r in got} == {0}
+
+
 def test_near_copies_in_one_large_group(spark):
     words = [f"w{k}" for k in range(80)]
     texts = [edited(words, 1, s) for s in range(150)]
