@@ -3,7 +3,10 @@
 A text is cut into sentences at line ends and at `.`, `!`, `?` or `;` before white space, and each sentence is normalised:
 lower case, everything but letters, digits and `+` and the points inside numbers becomes one space, and -ise/-ce spellings of
 "license" are made one. A normalised sentence that matches a pattern of SENTENCES gets that pattern's identifier; the first
-pattern in order counts. The identifiers of a document, in order, are then matched against RULES from first to last: a rule is
+pattern in order counts. So that wrapped notices are found, lines are also joined up to a blank line or to `.`, `!` or `?` (not
+that of `v.`) before white space. What a joined sentence matches is added before the identifiers of its parts, if none of them
+has it, and takes the place of a less specific one; for these, LONGER holds further patterns. The SQL cuts at line ends only and
+hence differs on such texts. The identifiers of a document, in order, are then matched against RULES from first to last: a rule is
 an ordered sequence of identifiers, and what it matches is replaced by the rule's licence, so that longer rules take their
 sentences before shorter ones see them. Identifiers that no rule takes are reported as left over.
 
@@ -90,6 +93,8 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
     ("MPL-2.0", ["mpl2"]),
 ]
+#: Further patterns of joined sentences: the identifier after which each is tried, and the pattern.
+LONGER = {"gpl2": r"gnu general public license.*either version 2"}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -98,29 +103,44 @@ def rule_pattern(ids: list[str]) -> str:
     return r"\|(" + r"\|(?:copyright\||rights-reserved\|)*".join(ids) + r")(?=\|)"
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text that hold a keyword, normalised."""
-    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    parts = F.filter(F.split(low, r"\n|(?<=[.!?;])[ \t\r]+"), lambda s: s.rlike(KEYWORDS))
+#: KEYWORDS whose words may stand on two lines.
+_SPREAD = KEYWORDS.replace(" ", "[^a-z0-9]+")
+
+
+def normal(s: Column) -> Column:
+    s = F.regexp_replace(s, "licence", "license")
+    s = F.regexp_replace(s, r"[^a-z0-9+.,]+", " ")
+    return F.trim(F.regexp_replace(s, r"[.,]+(?![0-9])|(?<![0-9])[.,]+", ""))
 
-    def normal(s):
-        s = F.regexp_replace(s, "licence", "license")
-        s = F.regexp_replace(s, r"[^a-z0-9+.,]+", " ")
-        return F.trim(F.regexp_replace(s, r"[.,]+(?![0-9])|(?<![0-9])[.,]+", ""))
 
-    return F.when(low.rlike(KEYWORDS), F.transform(parts, normal)).otherwise(F.array().cast("array<string>"))
+def joined(text: Column) -> Column:
+    """The sentences of a text that hold a keyword, over line ends, in lower case."""
+    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    parts = F.filter(F.split(low, r"\n[ \t\r]*\n|(?<=[.!?])(?<!\bv\.)\s+"), lambda s: s.rlike(_SPREAD))
+    return F.when(low.rlike(_SPREAD), parts).otherwise(F.array().cast("array<string>"))
 
 
-def identifier(sentence: Column) -> Column:
+def identifier(sentence: Column, longer: bool = False) -> Column:
     out = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
+        if longer and name in LONGER:
+            out = F.when(sentence.rlike(LONGER[name]), F.lit(name)).otherwise(out)
         out = F.when(sentence.rlike(pattern), F.lit(name)).otherwise(out)
     return out
 
 
+def identifiers(sentence: Column) -> Column:
+    """Of the parts of a joined sentence, and what it matches only as a whole."""
+    parts = F.filter(F.split(sentence, r"\n|(?<=[.!?;])[ \t\r]+"), lambda s: s.rlike(KEYWORDS))
+    found = F.filter(F.transform(parts, lambda s: identifier(normal(s))), lambda x: x.isNotNull())
+    rest = lambda ids, whole: F.filter(ids, lambda x: (x != "some-license") & ~((x == "gpl3") & (whole == "gpl3-or-later")))
+    both = lambda ids, whole: F.when(whole.isNull() | F.array_contains(ids, whole), ids).otherwise(F.concat(F.array(whole), rest(ids, whole)))
+    return let(found, lambda ids: let(identifier(normal(sentence), longer=True), lambda whole: both(ids, whole)))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_sentences, sentence_ids, licenses, left_over."""
-    ids = F.filter(F.transform(sentences(F.col(text_col)), identifier), lambda x: x.isNotNull())
+    ids = F.flatten(F.transform(joined(F.col(text_col)), identifiers))
 
     def matched(found: Column) -> Column:
         left = F.concat(F.lit("|"), F.array_join(found, "|"), F.lit("|"))

@@ -54,6 +54,43 @@ def test_license_rules(spark):
     assert got == [("Apache-2.0", ""), ("MIT", ""), ("BSD-3-Clause", ""), ("CC-BY-NC-4.0,MIT", ""), ("", "rights-reserved"), ("", "bsd-source"), ("GPL-3.0", ""), ("", "")]
 
 
+def test_wrapped_licenses(spark):
+    bsd3 = """Copyright (c) 2020, A. Author
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+    gpl = """# This program is free software{} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation{} either version {} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details."""
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    gpl2, gpl3 = gpl.format(";", ";", 2), gpl.format(":", ",", 3)
+    lines = "Licensed under the Apache License, Version 2.0\nReleased under the MIT License\nCopyright 2020 A"
+    texts = [bsd3, gpl2, gpl3, mpl, gpl2.replace("\n# ", " "), mpl.replace("\n", " "), lines, "Licensed under\nthe Apache License,\nVersion 2.0", "dedicated to the public\ndomain"]
+    got = [r.licenses for r in licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["BSD-3-Clause", "GPL-2.0", "GPL-3.0-or-later", "MPL-2.0", "GPL-2.0", "MPL-2.0", "Apache-2.0,MIT", "Apache-2.0", "CC0-1.0"]
+
+
 def test_license_order_matters(spark):
     r = licenses.scan(docs(spark, ["THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND. Permission is hereby granted, free of charge, to any person obtaining a copy."])).head()
     assert r.licenses == "" and r.left_over == "mit-warranty,mit-grant"
