@@ -75,6 +75,14 @@ class Words:
         self.hash = mix(h ^ ((self.end - self.start).astype(U) * U(0xA0761D6478BD642F)))
         self.first = np.searchsorted(self.start, self.at)
 
+    def exact(self) -> np.ndarray:
+        """A number for each word, equal where and only where the bytes are: for checks that a hash can't settle."""
+        size = self.end - self.start
+        at = np.concatenate([[0], np.cumsum(size)])
+        inside = np.repeat(self.start - at[:-1], size) + np.arange(at[-1])
+        words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(self.data[inside]))])
+        return numbered(words)
+
     def doc(self) -> np.ndarray:
         """The text that each word is in."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -84,6 +92,24 @@ class Words:
         return grams(self.hash, self.first, k)
 
 
+def numbered(values: pa.Array) -> np.ndarray:
+    """A number for each value, in order of first sight."""
+    return pc.dictionary_encode(values).indices.to_numpy().astype(np.int64)
+
+
+def exact_windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, number) of the windows of k words, numbered by the bytes of their words; a text of fewer words is one window."""
+    words, n = w.exact(), np.diff(w.first)
+    padded = np.concatenate([words, np.full(k, -1)]) + 1  # 0 stands for no word
+    doc = w.doc()
+    place = np.arange(len(words)) - w.first[doc]
+    at = np.flatnonzero((place == 0) | (place + k <= n[doc]))
+    code, size = padded[at], int(padded.max(initial=0)) + 1
+    for j in range(1, k):
+        code = numbered(pa.array(code * size + np.where(place[at] + j < n[doc[at]], padded[at + j], 0)))
+    return doc[at], code
+
+
 def chain(parts: list[np.ndarray]) -> np.ndarray:
     """One hash of equally long columns of hashes, in order."""
     h = parts[0] * U(0x9FB21C651E98DF25)

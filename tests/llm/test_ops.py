@@ -184,10 +184,8 @@ def test_signatures_estimate_probability_jaccard():
 
 
 def test_probability_jaccard_is_exact():
-    from foliant.llm.hashing import Words
-
     a, b = "a b c d e a b c d e a b c d e f", "a b c d e g h i j k"
-    plain, probability = near_dup.similarity(Words(pa.array([a])), Words(pa.array([b])), 1)
+    plain, probability = near_dup.similarity(pa.array([a]), pa.array([b]))
 
     def weights(t):
         w = t.split()
@@ -222,6 +220,70 @@ def test_near_copies_in_one_large_group(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def twins(n=11):
+    """Two words of the same bytes in another order, which polynomial hashes modulo 2**64 can't tell apart: Thue and Morse's sequence and its complement."""
+    bits = [bin(k).count("1") % 2 for k in range(1 << n)]
+    return "x" * 8 + "".join("ab"[b] for b in bits) + "y" * 8, "x" * 8 + "".join("ba"[b] for b in bits) + "y" * 8
+
+
+def test_words_that_collide_are_not_alike(spark):
+    a, b = twins()
+    assert [r.class_id for r in near_dup.classes(docs(spark, [a, b, a])).orderBy("doc_id").collect()] == [0, 1, 0]
+    plain, probability = near_dup.similarity(pa.array([a, a, "p " + a]), pa.array([b, a, "p " + b]))
+    assert plain.tolist() == probability.tolist() == [0.0, 1.0, 0.0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12)), min_size=1, max_size=6))
+def test_similarity_equals_brute_force(pairs):
+    a, b = ([" ".join(p[k]) for p in pairs] for k in (0, 1))
+    plain, _ = near_dup.similarity(pa.array(a), pa.array(b))
+    for x, y, s in zip(a, b, plain, strict=True):
+        assert abs(s - (jaccard(x, y) if x and y else 0.0)) < 1e-12
+
+
+def test_no_text_is_lost_where_ids_repeat(spark):
+    texts = ["the first text of three rows", "the first text of three rows", "a second text under the same id", "null one", "null one", "null two", PROSE, PROSE + "x"]
+    ids = [3, 7, 7, None, None, None, 9, 9]
+    got = [(r.doc_id, r.text) for r in near_dup.filter_rows(docs(spark, texts, ids)).collect()]
+    assert sorted(got, key=str) == sorted([(3, texts[0]), (7, texts[2]), (None, "null one"), (None, "null two"), (9, min(PROSE, PROSE + "x", key=lambda t: hashlib.sha256(t.encode()).digest()[:16]))], key=str)
+    found = near_dup.classes(docs(spark, texts, ids)).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.kept) for r in found) == sorted([("3", "3", True), ("7", "3", False), ("7", "7", True), *[("None", "None", True)] * 3, ("9", "9", True), ("9", "9", False)])
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_filtered_rows_equal_brute_force_under_repeated_ids(spark, seed):
+    r = np.random.default_rng(seed)
+    base = [[f"s{seed}g{g}w{k}" for k in range(60)] for g in range(6)]
+    texts = [edited(base[int(r.integers(0, 6))], int(r.integers(0, 3)), 50 * seed + j) for j in range(30)]
+    texts += [texts[int(r.integers(0, 30))] for _ in range(20)]
+    ids = [None if r.random() < 0.1 else int(r.integers(0, 25)) for _ in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if label[a] != label[b] and jaccard(texts[a], texts[b]) >= 0.8:
+                    label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    want = []
+    for c in set(label):
+        want.append(min(((i is None, i or 0, hashlib.sha256(t.encode()).digest()[:16], i, t) for i, t, x in zip(ids, texts, label, strict=True) if x == c))[3:])
+    got = [(x.doc_id, x.text) for x in near_dup.filter_rows(docs(spark, texts, ids)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_lower_thresholds_have_bands_of_their_own(spark):
+    """Near copies at a threshold of 0.5, which the registered query doesn't use."""
+    assert near_dup.layout(0.8) == (20, 4)
+    r = np.random.default_rng(2)
+    base = [[f"g{g}w{k}" for k in range(int(r.integers(80, 160)))] for g in range(40)]
+    texts = [" ".join(w) for w in base] + [edited(w, len(w) // 25 + 2, g) for g, w in enumerate(base)]
+    due = [g for g in range(40) if jaccard(texts[g], texts[40 + g]) >= 0.5]
+    got = {x.doc_id: x.class_id for x in near_dup.classes(docs(spark, texts), threshold=0.5).collect()}
+    recall = sum(got[40 + g] == g for g in due) / len(due)
+    print(f"recall of near copies at a similarity of 0.5 or more: {recall:.2f} of {len(due)}")
+    assert len(due) > 20 and recall == 1.0 and all(got[g] == g for g in range(40))
+
+
 def test_filter_keeps_one_of_repeated_rows(spark):
     out = near_dup.filter_rows(docs(spark, [PROSE, PROSE, PROSE, "other text", None, None], [7, 7, 9, 1, 2, 3]))
     assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3, 7] and out.columns == docs(spark, []).columns
