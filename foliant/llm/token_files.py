@@ -16,7 +16,7 @@ the parts between checkpoints, decode in parallel; both checksums are verified.
 Writing: texts are dealt by range of doc_id and sorted, tokenized, and written once as raw blocks; ids are counted from
 those; then each raw block is encoded where it lies. A document is encoded by pieces: the vocabulary's pre-tokenizer always
 parts a text before a space that anything but white space follows, so each distinct piece is sent to the tokenizers library
-when a worker first meets it, and kept in a bounded cache.
+when a worker first meets it, and kept in a bounded cache that knows it by all its bytes.
 
 Defined results: a null or empty text is the end id alone; null ids come first; rows that repeat an id follow each other by
 text; an empty table gives an empty data set; columns other than id and text are not read.
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import arrow_map, arrow_schema, shared_path, slices, small_batches, table
-from foliant.llm.hashing import Words, chain
+from foliant.llm.hashing import Words
 
 SCALE = 20
 LANES = 4096
@@ -48,6 +48,14 @@ BLOCK = 1 << 20
 END = 2
 #: Slots of a worker's cache of pieces, as a power of two; five eighths of them are filled at most.
 CACHE_BITS = 21
+#: Bytes of a word that is looked up by its bytes in numpy arrays.
+SHORT = 23
+#: Longer words that a worker keeps, and the bytes of the longest of them.
+MOST_LONG, LONGEST = 20_000, 256
+#: Ids that a worker keeps at most before its cache starts anew.
+MOST_IDS = 1 << 23
+#: Bits of the three keys that a word of so many bytes fills.
+_KEEP = np.array([[(1 << (8 * min(max(n - 8 * k, 0), 8))) - 1 for k in range(3)] for n in range(SHORT + 1)], np.uint64)
 #: Characters of a text that are split at a time.
 PART = 2_000_000
 MAGIC = b"RNS1"
@@ -151,7 +159,7 @@ class Coder:
 class Pieces:
     """Bounded cache from words to ids: open addressing over numpy arrays, looked up for all words of a batch at once.
 
-    A word is known by its 64-bit hash together with 64 bits of its length, first and last eight bytes."""
+    A word of up to SHORT bytes is known by these bytes and their number, three 64-bit keys; longer ones have a dictionary."""
 
     def __init__(self, dtype: np.dtype, bits: int = CACHE_BITS):
         self.dtype, self.bits = dtype, bits
@@ -159,72 +167,101 @@ class Pieces:
 
     def clear(self) -> None:
         slots = 1 << self.bits
-        self.hash, self.check = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.keys = np.zeros((slots, 3), np.uint64)
         self.start, self.n = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self.ids, self.held, self.used = np.zeros(1 << 16, self.dtype), 0, 0
+        self.long: dict[bytes, bytes] = {}
 
     @staticmethod
-    def checks(w: Words) -> np.ndarray:
-        padded = np.concatenate([np.zeros(8, np.uint8), w.data, np.zeros(8, np.uint8)])
-        eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(padded) - 7, 8), (1, 1))
-        length = w.end - w.start
-        head, tail = (np.ascontiguousarray(eight[at]).view(np.uint64).ravel() for at in (w.start + 8, w.end))
-        keep = np.where(length < 8, (_U64(1) << (_U64(8) * np.minimum(length, 7).astype(np.uint64))) - _U64(1), ~_U64(0))
-        tail_keep = np.where(length < 8, _U64(0), ~_U64(0))
-        return chain([head & keep, tail & tail_keep, length.astype(np.uint64)])
-
-    def slots(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    def exact(w: Words, which: np.ndarray) -> np.ndarray:
+        """The bytes of each word, filled up with zeros, and its length as the last byte; all words have 1 to SHORT bytes."""
+        padded = np.concatenate([w.data, np.zeros(24, np.uint8)])
+        windows = np.lib.stride_tricks.as_strided(padded, (len(padded) - 23, 24), (1, 1))
+        start, size = w.start[which], w.end[which] - w.start[which]
+        keys = np.ascontiguousarray(windows[start]).view(np.uint64)
+        keys &= _KEEP[size]
+        keys[:, 2] |= size.astype(np.uint64) << _U64(56)
+        return keys
+
+    def slots(self, keys: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The slot of each word, or -1."""
         slot = (h >> _U64(64 - self.bits)).astype(np.int64)
         out, open_ = np.full(len(h), -1), np.arange(len(h))
         while len(open_):
             at = slot[open_]
-            there = self.hash[at]
-            found = (there == h[open_]) & (self.check[at] == check[open_])
+            there, mine = self.keys[at], keys[open_]
+            found = (there[:, 0] == mine[:, 0]) & (there[:, 1] == mine[:, 1]) & (there[:, 2] == mine[:, 2])
             out[open_[found]] = at[found]
-            open_ = open_[~found & (there != 0)]
+            open_ = open_[~found & (there[:, 2] != 0)]  # the last key holds the length, never 0
             slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, h: np.ndarray, check: np.ndarray, coded: list[bytes]) -> None:
-        """Distinct new words."""
+    def hold(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each begin, now that they are held, and how many they are."""
         size = np.array([len(c) for c in coded], np.int64) // self.dtype.itemsize
         new = np.frombuffer(b"".join(coded), self.dtype)
         while self.held + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.held : self.held + len(new)] = new
         start = self.held + np.cumsum(size) - size
+        self.held += len(new)
+        return start, size
+
+    def add(self, keys: np.ndarray, h: np.ndarray, coded: list[bytes]) -> None:
+        """Distinct new words."""
+        start, size = self.hold(coded)
         slot, open_ = (h >> _U64(64 - self.bits)).astype(np.int64), np.arange(len(h))
         while len(open_):
-            free = open_[self.hash[slot[open_]] == 0]
+            free = open_[self.keys[slot[open_], 2] == 0]
             _, first = np.unique(slot[free], return_index=True)
             won = free[first]
             at = slot[won]
-            self.hash[at], self.check[at], self.start[at], self.n[at] = h[won], check[won], start[won], size[won]
+            self.keys[at], self.start[at], self.n[at] = keys[won], start[won], size[won]
             left = np.ones(len(h), bool)
             left[won] = False
             open_ = open_[left[open_]]
             slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
-        self.held, self.used = self.held + len(new), self.used + len(h)
+        self.used += len(h)
+
+    def longer(self, words: list[bytes], encode) -> tuple[np.ndarray, np.ndarray]:
+        """As __call__, of words of over SHORT bytes: the dictionary compares whole words."""
+        new = [x for x in dict.fromkeys(words) if x not in self.long]
+        fresh = dict(zip(new, encode([x.decode() for x in new]), strict=True))
+        coded = [self.long.get(x) or fresh[x] for x in words]
+        if len(self.long) + len(fresh) > MOST_LONG:
+            self.long.clear()
+        self.long |= {k: v for k, v in list(fresh.items())[:MOST_LONG] if len(k) <= LONGEST}
+        return self.hold(coded)
 
     def __call__(self, w: Words, encode) -> tuple[np.ndarray, np.ndarray]:
         """First place in ids and number of ids of every word."""
-        h, check = w.hash | _U64(1), self.checks(w)
-        slot = self.slots(h, check)
+        if self.held > MOST_IDS:
+            self.clear()
+        size = w.end - w.start
+        short = size <= SHORT
+        which = np.flatnonzero(short)
+        keys, h = self.exact(w, which), w.hash[which]
+        slot = self.slots(keys, h)
         missing = np.flatnonzero(slot < 0)
+        raw = w.data.tobytes() if len(missing) or len(which) < len(size) else b""
         if len(missing):
-            _, first = np.unique(h[missing] ^ (check[missing] << _U64(1)), return_index=True)
+            _, first = np.unique(keys[missing].view("V24").ravel(), return_index=True)
             new = missing[first]
-            if self.used + len(new) > (1 << self.bits) * 5 // 8 and self.used:
+            if self.used and self.used + len(new) > (1 << self.bits) * 5 // 8:
                 self.clear()
                 return self(w, encode)
             if len(new) > (1 << self.bits) * 5 // 8:  # one batch with more distinct words than the cache holds
                 self.bits = len(new).bit_length() + 1
                 self.clear()
-            raw = w.data.tobytes()
-            self.add(h[new], check[new], encode([raw[a:b].decode() for a, b in zip(w.start[new].tolist(), w.end[new].tolist(), strict=True)]))
-            slot[missing] = self.slots(h[missing], check[missing])
-        return self.start[slot], self.n[slot]
+            at = which[new]
+            self.add(keys[new], h[new], encode([raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]))
+            slot[missing] = self.slots(keys[missing], h[missing])
+        start, n = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        start[which], n[which] = self.start[slot], self.n[slot]
+        rest = np.flatnonzero(~short)
+        if len(rest):
+            start[rest], n[rest] = self.longer([raw[a:b] for a, b in zip(w.start[rest].tolist(), w.end[rest].tolist(), strict=True)], encode)
+        return start, n
 
 
 class Encoder:

@@ -435,6 +435,22 @@ def test_pieces_equal_whole_texts():
     assert [array("H", x).tolist() for x in encoder(texts)] == want
 
 
+def test_words_that_collide_have_ids_of_their_own():
+    encoder, (a, b) = token_files.encoder(None), twins()
+    texts = [f"x {a} x", f"x {b} x", f"x {a}", "x " + "z" * 23, "x " + "z" * 24, "x " + "z" * 23 + "\0", "x z\0", "x z", "x z\0\0"] * 2
+    want = [[*e.ids, 2] for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [array("H", x).tolist() for x in encoder(texts)] == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab é漢\0.,1"), max_size=120), max_size=8))
+def test_small_caches_equal_the_tokenizer(texts):
+    encoder = token_files.Encoder(None)
+    encoder.pieces = token_files.Pieces(encoder.dtype, bits=3)
+    want = [[*e.ids, 2] for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [array("H", x).tolist() for x in encoder(texts)] == want
+
+
 def test_empty_token_files(spark, none, tmp_path):
     token_files.write(none, f"file://{tmp_path}/t")
     assert token_files.read(spark, f"file://{tmp_path}/t").count() == 0
