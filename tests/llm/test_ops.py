@@ -584,6 +584,38 @@ def test_quality_separates_held_out_text(spark):
     assert sum(x.kept for x in got[200:300]) >= 97 and not any(x.kept for x in got[300:])
 
 
+def test_scores_by_joins_equal_scores(spark):
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in r.zipf(1.4, int(r.integers(0, 90))) % 60) for _ in range(40)] + [None, "", "w1 w1 w1 Zz 12 ## w2"]
+    d = docs(spark, texts)
+    vocabulary = quality_lm.vocabulary_of(d.limit(25))
+    tables, floor = quality_lm.tables_of(d.limit(25), vocabulary)
+    got = {x.doc_id: x for x in quality_lm.score_by_joins(d, vocabulary, tables, floor).collect()}
+    for x in quality_lm.score(d, quality_lm.train(d.limit(25))).collect():
+        assert x.n_words == got[x.doc_id].n_words and (x.log_perplexity is None) == (got[x.doc_id].log_perplexity is None)
+        assert x.log_perplexity is None or abs(x.log_perplexity - got[x.doc_id].log_perplexity) < 1e-5
+
+
+def test_thresholds_equal_brute_force(spark):
+    r = np.random.default_rng(6)
+    rows = [(None if k % 11 == 0 else "en" if k % 3 else "fr", int(r.choice([5, 40, 200, 900], p=[0.05, 0.25, 0.4, 0.3])), float(r.normal(6, 1))) for k in range(400)]
+    d = spark.createDataFrame([*rows, ("en", 0, None)], "lang string, n_words long, log_perplexity double")
+    limits = quality_lm.thresholds(d, 0.95, 30)
+    for lang, n, got in d.select("lang", "n_words", quality_lm.limit_of(limits, F.col("lang"), F.col("n_words")).alias("t")).where("n_words > 0").collect():
+        of = lambda w: sum(w >= k for k in quality_lm.LENGTHS)
+        pools = [[x for x in rows if x[0] == lang and of(x[1]) == of(n)], [x for x in rows if of(x[1]) == of(n)], [x for x in rows if x[0] == lang], rows]
+        pool = sorted(math.ceil(x[2] * 1000) for x in next(p for p in pools if len(p) >= 30))
+        assert abs(got - pool[math.ceil(len(pool) * 0.95) - 1] / 1000) < 1e-9
+
+
+def test_training_takes_languages_in_turn(spark):
+    langs = ["en"] * 90 + ["fr"] * 20 + [None] * 10
+    d = docs(spark, ["a b c d"] * 119 + ["x" * 200], langs=langs)
+    _, sample = quality_lm.training_texts(d, labels(spark, good=range(120)), 18, 100)
+    got = Counter(langs[r.doc_id] for r in sample.collect())
+    assert sum(got.values()) == 18 and got["fr"] >= 5 and got[None] >= 2 and got["en"] <= 9
+
+
 def test_quality_edges(spark, odd, none):
     got = quality_lm.classify(odd, labels(spark, good=(6, 7)))
     assert got.count() == odd.count() and {r.doc_id for r in got.where("log_perplexity is null and not kept").collect()} >= {0, 1, 2}
