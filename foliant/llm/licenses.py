@@ -5,8 +5,7 @@ lower case, everything but letters, digits and `+` and the points inside numbers
 "license" are made one. A normalised sentence that matches a pattern of SENTENCES gets that pattern's identifier; the first
 pattern in order counts. So that wrapped notices are found, lines are also joined up to a blank line or to `.`, `!` or `?` (not
 that of `v.`) before white space. What a joined sentence matches is added before the identifiers of its parts, if none of them
-has it, and takes the place of a less specific one; for these, LONGER holds further patterns. The SQL cuts at line ends only and
-hence differs on such texts. The identifiers of a document, in order, are then matched against RULES from first to last: a rule is
+has it, and takes the place of a less specific one (a denial that of all); for these, LONGER holds further patterns. The identifiers of a document, in order, are then matched against RULES from first to last: a rule is
 an ordered sequence of identifiers, and what it matches is replaced by the rule's licence, so that longer rules take their
 sentences before shorter ones see them. Identifiers that no rule takes are reported as left over.
 
@@ -28,6 +27,7 @@ from foliant.llm.common import let, table
 KEYWORDS = "licen|copyright|warrant|permission|redistribut|public domain|spdx|endorse|cc0|all rights"
 #: (identifier, pattern over the normalised sentence); the first that matches counts.
 SENTENCES = [
+    ("not-licensed", r"\b(not|isn t|aren t|never|no longer) ([a-z]+ )?([a-z]+ )?(licensed|released|distributed|available) under\b"),
     ("spdx-apache2", r"spdx license identifier apache 2\.0"),
     ("spdx-mit", r"spdx license identifier mit\b"),
     ("spdx-gpl3", r"spdx license identifier gpl 3\.0"),
@@ -133,7 +133,7 @@ def identifiers(sentence: Column) -> Column:
     """Of the parts of a joined sentence, and what it matches only as a whole."""
     parts = F.filter(F.split(sentence, r"\n|(?<=[.!?;])[ \t\r]+"), lambda s: s.rlike(KEYWORDS))
     found = F.filter(F.transform(parts, lambda s: identifier(normal(s))), lambda x: x.isNotNull())
-    rest = lambda ids, whole: F.filter(ids, lambda x: (x != "some-license") & ~((x == "gpl3") & (whole == "gpl3-or-later")))
+    rest = lambda ids, whole: F.filter(ids, lambda x: (x != "some-license") & (whole != "not-licensed") & ~((x == "gpl3") & (whole == "gpl3-or-later")))
     both = lambda ids, whole: F.when(whole.isNull() | F.array_contains(ids, whole), ids).otherwise(F.concat(F.array(whole), rest(ids, whole)))
     return let(found, lambda ids: let(identifier(normal(sentence), longer=True), lambda whole: both(ids, whole)))
 
@@ -164,18 +164,24 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    case = "case " + " ".join(f"when regexp_matches(s, '{p}') then '{n}'" for n, p in SENTENCES) + " end"
-    # RE2 has no lookahead: the closing bar is matched and put back, twice for neighbours
+    def case(s: str, longer: bool = False) -> str:
+        whens = [(n, p) for name, pattern in SENTENCES for n, p in ((name, pattern), (name, LONGER.get(name) if longer else None)) if p]
+        return "case " + " ".join(f"when regexp_matches({s}, '{p}') then '{n}'" for n, p in whens) + " end"
+
+    # RE2 has no lookahead or lookbehind: the closing bar is matched and put back, twice for neighbours, and cuts are marked
     left = "'|' || array_to_string(ids, '||') || '|'"
     for name, sequence in RULES:
         pattern = r"\|(" + r"\|\|(?:copyright\|\||rights-reserved\|\|)*".join(sequence) + r")\|"
         left = f"regexp_replace({left}, '{pattern}', '|<{name}>|', 'g')"
-    normal = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(p, 'licence', 'license'), '[^a-z0-9+.,]+', ' ', 'g'), '[.,]+([^0-9.,]|$)', '\1', 'g'), '(^|[^0-9.,])[.,]+', '\1', 'g'), '[.,]+$', ''))"
+    normal = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({0}, 'licence', 'license'), '[^a-z0-9+.,]+', ' ', 'g'), '[.,]+([^0-9.,]|$)', '\1', 'g'), '(^|[^0-9.,])[.,]+', '\1', 'g'), '[.,]+$', ''))"
     return rf"""
 with low as (select doc_id, row_number() over () r, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') t from documents),
-parts as (select doc_id, r, list_filter(regexp_split_to_array(regexp_replace(t, '([.!?;])[ \t\r]+', '\1' || chr(10), 'g'), '\n'), lambda p: regexp_matches(p, '{KEYWORDS}')) ps from low),
-sentences as (select doc_id, list_transform(ps, lambda p: {normal}) ss from parts),
-found as (select doc_id, list_filter(list_transform(ss, lambda s: {case}), lambda x: x is not null) ids from sentences),
+cut as (select doc_id, r, regexp_replace(regexp_replace(regexp_replace(t, '\n[ \t\r]*\n', chr(1), 'g'), '\bv\.', 'v' || chr(2), 'g'), '([.!?])[ \t\r\n\f\v]+', '\1' || chr(1), 'g') t from low),
+whole as (select doc_id, r, unnest(list_filter(string_split(replace(t, chr(2), '.'), chr(1)), lambda x: regexp_matches(x, '{_SPREAD}'))) s, generate_subscripts(list_filter(string_split(replace(t, chr(2), '.'), chr(1)), lambda x: regexp_matches(x, '{_SPREAD}')), 1) k from cut),
+parted as (select doc_id, r, k, {case(normal.format("s"), True)} w,
+  list_filter(list_transform(list_filter(string_split(regexp_replace(s, '([.!?;])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)), lambda p: regexp_matches(p, '{KEYWORDS}')), lambda p: {case(normal.format("p"))}), lambda x: x is not null) ids from whole),
+both as (select doc_id, r, k, case when w is null or list_contains(ids, w) then ids else [w] || list_filter(ids, lambda x: x <> 'some-license' and w <> 'not-licensed' and not (x = 'gpl3' and w = 'gpl3-or-later')) end ids from parted),
+found as (select l.doc_id, l.r, coalesce(flatten(list(b.ids order by b.k) filter (b.ids is not null)), []::varchar[]) ids from low l left join both b on l.r = b.r group by l.doc_id, l.r),
 matched as (select doc_id, ids, list_filter(string_split({left}, '|'), lambda x: x <> '') m from found)
 select doc_id, len(ids)::bigint n_sentences, array_to_string(ids, ',') sentence_ids,
   array_to_string(list_sort(list_distinct(list_transform(list_filter(m, lambda x: starts_with(x, '<')), lambda x: regexp_replace(x, '[<>]', '', 'g')))), ',') licenses,

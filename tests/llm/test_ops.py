@@ -91,6 +91,42 @@ AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
     assert got == ["BSD-3-Clause", "GPL-2.0", "GPL-3.0-or-later", "MPL-2.0", "GPL-2.0", "MPL-2.0", "Apache-2.0,MIT", "Apache-2.0", "CC0-1.0"]
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+LGPL = """/* This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version. */"""
+APACHE = """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+
+def test_notices_and_negations(spark):
+    texts = [ISC, LGPL, APACHE, "This code is not licensed under the MIT License.", "It is not\nlicensed under the MIT License", "It is no longer released under the MIT license. Licensed under the Apache License, Version 2.0."]
+    got = [r.licenses for r in licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["ISC", "LGPL", "Apache-2.0", "", "", "Apache-2.0"]
+
+
+def test_license_sql_agrees_on_notices(spark):
+    import duckdb
+
+    pieces = [ISC, LGPL, APACHE, "not\nlicensed under the MIT License", "Mozilla Public\nLicense, v. 2.0. If a", "\n\n", ". \n\n\n", "Released under the\nMIT License; all rights reserved", "v.\n\nGNU General Public License v. 3", "Copyright 2020 A\n", "license"]
+    r = np.random.default_rng(9)
+    texts = pieces + [" ".join(r.choice(pieces, 4)) for _ in range(40)] + [None, ""]
+    d = docs(spark, texts)
+    documents = d.select("doc_id", "text").toPandas()  # noqa: F841  read by the SQL
+    want = sorted(duckdb.sql(licenses.SQL["op1_license_scan"]).fetchall())
+    assert sorted(tuple(x) for x in licenses.scan(d).collect()) == want
+
+
 def test_license_order_matters(spark):
     r = licenses.scan(docs(spark, ["THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND. Permission is hereby granted, free of charge, to any person obtaining a copy."])).head()
     assert r.licenses == "" and r.left_over == "mit-warranty,mit-grant"
@@ -117,7 +153,9 @@ def test_base_counts_equal_brute_force(spark):
         assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0])
 
 
-def test_importance_ratio_equals_brute_force(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_importance_ratio_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(importance, "MAX_BROADCAST_ROWS", most)
     clean, junk = [" ".join(f"good{(k * j) % 40}" for j in range(60)) for k in range(1, 12)], [" ".join(f"z{k}{j}%%%" for j in range(60)) for k in range(6)]
     d, lab = docs(spark, [*clean, *junk]), labels(spark, good=range(8))
     got = importance.judge(d, lab, buckets=500).orderBy("doc_id").collect()
@@ -323,6 +361,41 @@ def test_reputation_shrinks_and_blocks(spark):
     assert got["new.spam.info"].bound < got["new.site1.net"].bound and got["new.site1.net"].bound <= got["good1.site1.net"].bound
 
 
+def test_posterior_equals_brute_force(spark):
+    r = np.random.default_rng(8)
+    hosts = [f"h{k}.d{k % 7}.{'net' if k % 3 else 'co.uk'}" for k in range(40)]
+    rates = {d: r.beta(4, 2) for d in {h.split(".", 1)[1] for h in hosts}}
+    rows = [(h, int(r.random() < rates[h.split(".", 1)[1]])) for h in hosts for _ in range(int(r.integers(0, 25)))]
+    known = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {x.host: x.bound for x in url_reputation.reputation(known, spark.createDataFrame(rows, "host string, good int"), 1.645).collect()}
+    count = lambda of: {k: (sum(g for h, g in rows if of(h) == k), sum(of(h) == k for h, _ in rows)) for k in {of(h) for h in hosts}}
+    domain, suffix = lambda h: h.split(".", 1)[1], lambda h: "net" if h.endswith("net") else "co.uk"
+
+    def strength(groups):
+        """groups: (good, n, parent) of a level."""
+        groups = [x for x in groups if x[1]]
+        spread = sum(n * (g / n - m) ** 2 for g, n, m in groups) - sum(m * (1 - m) for _, _, m in groups)
+        share = sum(m * (1 - m) * n for _, n, m in groups) - sum(m * (1 - m) for _, _, m in groups)
+        return min(max(share / spread - 1, url_reputation.WEAKEST), url_reputation.STRONGEST) if spread > 0 else url_reputation.STRONGEST
+
+    parent = {k: sum(g for _, g in rows) / len(rows) for k in count(suffix)}
+    for of, above in ((suffix, lambda k: k), (domain, lambda k: "co.uk" if k.endswith("uk") else "net"), (lambda h: h, domain)):
+        level = {k: (g, n, parent[above(k)]) for k, (g, n) in count(of).items()}
+        s = strength(level.values())
+        parent = {k: (g + s * m) / (n + s) for k, (g, n, m) in level.items()}
+        size = {k: n + s for k, (_, n, _) in level.items()}
+    for h in hosts:
+        m = parent[h]
+        assert abs(got[h] - (m - 1.645 * math.sqrt(m * (1 - m) / (size[h] + 1)))) < 1e-9
+
+
+def test_long_urls_and_clashing_columns(spark):
+    long = "http://a.net/" + "x/" * 100_000
+    pages = spark.createDataFrame([(1, long, "b", "r", "p", "g"), (2, "http://" + "s." * 5000 + "org/q", "b", "r", "p", "g")], "page_id long, url string, bound string, rule string, path string, good string")
+    got = url_reputation.judge(pages, spark.createDataFrame([(long, 1)], "url string, good int")).orderBy("page_id").collect()
+    assert (got[0].host, len(got[0].path), got[0].rule) == ("a.net", 200_001, None) and got[1].rule == "org/"
+
+
 def test_urls_without_outcomes_or_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.net/"), (1, "http://a.net/"), (None, None)], "page_id long, url string")
     none = spark.createDataFrame([], "url string, good int")
@@ -373,6 +446,19 @@ def test_leaks_reach_recall_and_precision(spark):
     assert got <= want and gold <= want and len(got & want) >= 0.99 * len(want)
 
 
+def test_words_that_collide_leak_nothing(spark):
+    a, b = twins()
+    items = spark.createDataFrame([(1, f"{a} one"), (2, a)], "item_id long, text string")
+    got = decontaminate.search(docs(spark, [f"x {b} one", f"x {a} one", a]), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (1, 2), (2, 2)]
+
+
+def test_item_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    items = spark.createDataFrame([(k, "x" * n) for k, n in enumerate((40, 40, 40, 300, 1))], "item_id long, text string").coalesce(1)
+    assert [[i for i, _ in part] for part in decontaminate.blocks(items, 2)] == [[0, 1], [2], [3], [4]]
+
+
 def test_leak_edges(spark, odd, none):
     items = spark.createDataFrame([(1, PROSE), (1, PROSE), (2, ""), (3, None), (None, "null id"), (5, "null no")], "item_id long, text string")
     got = decontaminate.search(odd, items).collect()
@@ -757,6 +843,15 @@ def test_packing_is_whole_and_within_budget(spark):
     assert len({(r.bucket, r.shard, r.batch, r.slot) for r in got}) == len(got)
 
 
+@pytest.mark.parametrize("same", [None, 5])
+def test_rows_of_one_id_are_dealt_to_many_shards(spark, same):
+    d = spark.range(3000).select(F.lit(same).cast("long").alias("doc_id"), F.lit("a b c").alias("text"))
+    got = packing.pack(d, buckets=2, budget=64, shard_rows=100)
+    sizes = [r["count"] for r in got.groupBy("bucket", "shard").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 200
+    assert got.select("bucket", "shard", "batch", "slot").distinct().count() == 3000
+
+
 # ---- all ----
 
 SCANS = {
