@@ -5,9 +5,10 @@ trusted labelled documents (quality 1, not toxic), one over the raw corpus, both
 ratio is the mean over its n-grams of log(trusted share / raw share), and it is kept if that is at least `least` and the base
 rules pass. All documents are counted and all are judged by the same fixed threshold.
 
-Counting is one scan with partial aggregation into at most `buckets` rows for each task; the weights, `buckets` numbers, are
-a literal array, so that judging is one more scan without a shuffle. Ids of trusted documents are broadcast behind a check of
-their number, and joined by a shuffle beyond it.
+Counting is a scan with partial aggregation into at most `buckets` rows for each task; the weights, `buckets` numbers, are the
+value of a subquery, so that judging is one more scan without a shuffle and nothing passes through the driver's Python. Ids of
+trusted documents are broadcast behind a check of their number; beyond it the raw corpus is still counted without a join, and
+only the trusted part is joined, by a shuffle.
 
 Base counts, for the words `[^ \\t-\\r]+` of the whole text: word_chars, n_symbols (of `#*$%&|<>`), n_dup_lines (lines with a
 word that equal an earlier line), n_repeat_words (words in windows of three that occur twice or more in the text).
@@ -21,12 +22,10 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import SPACES, let, maybe_broadcast, table, words
+from foliant.llm.common import MAX_BROADCAST_ROWS, SPACES, let, table, words
 
 LINE_WITH_WORD = r"[^\x20\x09-\x0D]"
 
@@ -70,26 +69,27 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
 
 
-def weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> list[float]:
-    """log(trusted share / raw share) of each bucket; trusted has distinct doc_id."""
-    flagged = docs.select("doc_id", "text").join(maybe_broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
-    grams = flagged.select("good", F.explode(let(tokens(F.col("text")), lambda ws: features(ws, buckets))).alias("bucket"))
-    rows = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good")).collect()  # at most `buckets`
-    raw, good = [1.0] * buckets, [1.0] * buckets
-    for r in rows:
-        raw[r.bucket] += r.raw
-        good[r.bucket] += r.good
-    if not any(r.good for r in rows):
-        return [0.0] * buckets
-    a, b = sum(good), sum(raw)
-    return [math.log(g / a) - math.log(r / b) for g, r in zip(good, raw, strict=True)]
+def weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> Column:
+    """log(trusted share / raw share) of each bucket, an array in one row; trusted has distinct doc_id."""
+    grams = F.explode(let(tokens(F.col("text")), lambda ws: features(ws, buckets))).alias("bucket")
+    docs = docs.select("doc_id", "text")
+    if trusted.count() <= MAX_BROADCAST_ROWS:  # one scan counts both
+        flagged = docs.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
+        counts = flagged.select("good", grams).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good"))
+    else:  # the raw corpus is counted where it lies; only the trusted part meets its ids
+        raw = docs.select(grams).groupBy("bucket").agg(F.count("*").alias("raw"))
+        counts = raw.join(docs.join(trusted, "doc_id", "left_semi").select(grams).groupBy("bucket").agg(F.count("*").alias("good")), "bucket", "left")
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["raw", "good"])
+    one = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("all"), F.sum("raw").alias("raw"), F.sum("good").alias("good"))  # `buckets` structs
+    share = lambda x, k: (x[k] + 1) / (F.col(k) + buckets)
+    return one.select(F.transform("all", lambda x: F.when(F.col("good") == 0, 0.0).otherwise(F.log(share(x, "good")) - F.log(share(x, "raw"))))).scalar()
 
 
 def judge(docs: DataFrame, labels: DataFrame, buckets: int = 10_000, least: float = -0.25) -> DataFrame:
     """One row for each document, as above."""
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    weight = F.expr("array(" + ", ".join(f"{x!r}D" for x in weights(docs, trusted, buckets)) + ")")
-    ratio = let(let(tokens(F.col("text")), lambda ws: features(ws, buckets)), lambda g: F.try_divide(F.aggregate(g, F.lit(0.0), lambda acc, k: acc + F.get(weight, k)), F.size(g)))
+    docs = docs.select("doc_id", "text", weights(docs, trusted, buckets).alias("weight"))
+    ratio = let(let(tokens(F.col("text")), lambda ws: features(ws, buckets)), lambda g: F.try_divide(F.aggregate(g, F.lit(0.0), lambda acc, k: acc + F.get(F.col("weight"), k)), F.size(g)))
     counts = let(words(F.col("text")), lambda ws: base(F.col("text"), ws))
     out = docs.select("doc_id", counts.alias("b"), ratio.alias("ratio"))
     failed = (F.col("b.n_words") < 50) | (100 * F.col("b.n_repeat_words") > 50 * F.col("b.n_words"))
