@@ -1,8 +1,8 @@
 """Operator 5, benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit distance.
 
 Words are compared without case and punctuation. A document leaks an item of n words if some stretch of it is within
-floor(`edits` * n) word edits (insertions, deletions, substitutions) of the item; items of fewer than `min_words` words count
-only word for word. The steps, for a block of items and a batch of documents:
+floor(`edits` * n) word edits (insertions, deletions, substitutions) of the item. The steps, for a block of items and a batch
+of documents:
 
 1. Windows. An item with at most e edits leaves a run of at least floor((n - e) / (e + 1)) words as it was, so a window can
    only match if it shares such a run; runs of up to three words are looked up, and each hit gives the item-sized window that
@@ -12,10 +12,10 @@ only word for word. The steps, for a block of items and a batch of documents:
 3. Bit-sampling LSH. Each repetition has a walk of its own and compares SAMPLES random steps; a window is a candidate if any
    repetition agrees. The number of repetitions is calibrated on the items themselves, with the full number of random edits,
    to reach `recall`.
-4. Exact verification by bit-parallel edit distance with free ends.
+4. Exact verification by bit-parallel edit distance with free ends, over the words themselves and not their hashes.
 
-Items are a stated query set: they are handled in blocks of at most `block` items, each block small enough to ship with the
-code, against all documents. No document is shuffled.
+Items are a stated query set: they are handled in blocks of at most `block` items and BLOCK_BYTES of text, which are broadcast,
+against all documents. Repetitions are calibrated once for a block, on the driver. No document is shuffled.
 
 Result of search(): one row for each leaking document row and item: doc_id, item_id, edits, start, stop (words of the best
 stretch), n_words of the item. Defined results: null texts count as empty; a document or item without a word leaks nothing; a
@@ -36,13 +36,15 @@ from foliant.llm.hashing import PUNCT, U, Words, chain
 SAMPLES = 2
 #: Longest run that is looked up.
 RUN = 3
+#: Bytes of items that are broadcast at a time; one longer item is a block of its own.
+BLOCK_BYTES = 16_000_000
 #: Bytes of text that a worker searches at a time.
 PART = 2_000_000
 _TABLE = 20
 
 
-def allowed(n: int, edits: float, min_words: int) -> int:
-    return int(edits * n + 1e-9) if n >= min_words else 0
+def allowed(n: int, edits: float) -> int:
+    return int(edits * n + 1e-9)
 
 
 def folded(column) -> Words:
@@ -50,6 +52,11 @@ def folded(column) -> Words:
     return Words(pc.utf8_lower(column.cast(pa.large_string())), PUNCT)
 
 
+def spelt(raw: bytes, w: Words, low: int, high: int) -> list[bytes]:
+    """The words low to high themselves; raw is w's data."""
+    return [raw[a:b] for a, b in zip(w.start[low:high].tolist(), w.end[low:high].tolist(), strict=True)]
+
+
 class Walk:
     """CGK walks for strings of n words: random bits by step, and the steps that each repetition compares."""
 
@@ -87,16 +94,16 @@ def edited(words: np.ndarray, e: int, r: np.random.Generator) -> np.ndarray:
     return np.array(out, U)
 
 
-def repetitions(items: list[np.ndarray], edits: float, min_words: int, recall: float, most: int = 64, trials: int = 48) -> int:
+def repetitions(items: list[np.ndarray], edits: float, recall: float, most: int = 64, trials: int = 48) -> int:
     """Fewest repetitions that reach the recall on items with the full number of random edits."""
     r = np.random.default_rng(5)
-    long = [x for x in items if allowed(len(x), edits, min_words)]
+    long = [x for x in items if allowed(len(x), edits)]
     if not long:
         return 4
     missed = []
     for k in range(trials):
         x = long[k * len(long) // trials % len(long)]
-        y = edited(x, allowed(len(x), edits, min_words), r)
+        y = edited(x, allowed(len(x), edits), r)
         walk = Walk(len(x), most)
         a = walk(x, np.zeros(1, np.int64), np.full(1, len(x)))
         b = walk(np.append(y, U(0)), np.zeros(1, np.int64), np.full(1, len(y)))
@@ -134,14 +141,15 @@ def bit_masks(words) -> dict:
 
 
 class Matcher:
-    """Finds a block of items in batches of texts."""
+    """Finds a block of items in batches of texts; calibrates the repetitions unless they are given."""
 
-    def __init__(self, items: list[tuple], edits: float = 0.2, min_words: int = 8, recall: float = 0.99):
+    def __init__(self, items: list[tuple], edits: float = 0.2, recall: float = 0.99, times: int | None = None):
         w = folded(pa.array([t for _, t in items], pa.string()))
-        self.ids = [i for i, _ in items]
+        self.ids, raw = [i for i, _ in items], w.data.tobytes()
         self.words = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-        self.most = [allowed(len(x), edits, min_words) for x in self.words]
-        self.repetitions = repetitions(self.words, edits, min_words, recall)
+        self.spelt = [spelt(raw, w, a, b) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+        self.most = [allowed(len(x), edits) for x in self.words]
+        self.repetitions = times or repetitions(self.words, edits, recall)
         self.seeds = {}
         by_run: dict[int, list] = {}
         for k, (x, e) in enumerate(zip(self.words, self.most, strict=True)):
@@ -188,6 +196,7 @@ class Matcher:
         """(text, item, edits, start, stop), the best stretch for each text and item."""
         w = folded(column)
         doc, item, start = self.windows(w)
+        raw = w.data.tobytes() if len(doc) else b""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         length = self.lengths[item]
         for n in np.unique(length):
@@ -197,13 +206,13 @@ class Matcher:
                 mine = walk(w.hash, start[part], w.first[doc[part] + 1])
                 theirs = np.stack([known[k] for k in item[part].tolist()])
                 for c in part[(mine == theirs).any(axis=1)].tolist():
-                    self._verify(w, int(doc[c]), int(item[c]), int(start[c]), best)
+                    self._verify(raw, w, int(doc[c]), int(item[c]), int(start[c]), best)
         return sorted((d, k, *v) for (d, k), v in best.items())
 
-    def _verify(self, w: Words, d: int, k: int, start: int, best: dict) -> None:
-        pattern, most = self.words[k].tolist(), self.most[k]
+    def _verify(self, raw: bytes, w: Words, d: int, k: int, start: int, best: dict) -> None:
+        pattern, most = self.spelt[k], self.most[k]
         low, high = max(int(w.first[d]), start - most), min(int(w.first[d + 1]), start + len(pattern) + 2 * most)
-        stretch = w.hash[low:high].tolist()
+        stretch = spelt(raw, w, low, high)
         if most == 0:
             ok = stretch[: len(pattern)] == pattern
             cost, begin, end = (0 if ok else 1), 0, len(pattern)
@@ -217,18 +226,20 @@ class Matcher:
 
 
 def blocks(items: DataFrame, block: int):
-    """The items in lists of at most `block`, read from Spark one partition at a time."""
-    part = []
+    """The items in lists of at most `block` and BLOCK_BYTES, read from Spark one partition at a time."""
+    part, held = [], 0
     for row in items.select("item_id", "text").toLocalIterator():
-        part.append((row.item_id, row.text))
-        if len(part) == block:
+        size = len((row.text or "").encode())
+        if part and (len(part) == block or held + size > BLOCK_BYTES):
             yield part
-            part = []
+            part, held = [], 0
+        part.append((row.item_id, row.text))
+        held += size
     if part:
         yield part
 
 
-def search(docs: DataFrame, items: DataFrame, edits: float = 0.2, min_words: int = 8, recall: float = 0.99, block: int = 20_000) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, edits: float = 0.2, recall: float = 0.99, block: int = 20_000) -> DataFrame:
     """One row for each leaking document row and item."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -236,10 +247,10 @@ def search(docs: DataFrame, items: DataFrame, edits: float = 0.2, min_words: int
     ddl = ids + ", edits int, start bigint, stop bigint, n_words int"
     out = spark.createDataFrame([], ddl)
     for part in blocks(items, block):
-        shared = spark.sparkContext.broadcast(part)
+        shared = spark.sparkContext.broadcast((part, Matcher(part, edits, recall).repetitions))
 
         def make(shared=shared):
-            m = Matcher(shared.value, edits, min_words, recall)
+            m = Matcher(shared.value[0], edits, recall, shared.value[1])
 
             def f(batch):
                 hits = m(batch.column(1))
@@ -254,15 +265,15 @@ def search(docs: DataFrame, items: DataFrame, edits: float = 0.2, min_words: int
     return out
 
 
-def filter_rows(docs: DataFrame, items: DataFrame, edits: float = 0.2, min_words: int = 8, recall: float = 0.99, block: int = 20_000) -> DataFrame:
+def filter_rows(docs: DataFrame, items: DataFrame, edits: float = 0.2, recall: float = 0.99, block: int = 20_000) -> DataFrame:
     """The rows of docs that leak no item, all columns as they are."""
     spark, text = docs.sparkSession, docs.columns.index("text")
     ddl = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema.fields)
     for part in blocks(items, block):
-        shared = spark.sparkContext.broadcast(part)
+        shared = spark.sparkContext.broadcast((part, Matcher(part, edits, recall).repetitions))
 
         def make(shared=shared):
-            m = Matcher(shared.value, edits, min_words, recall)
+            m = Matcher(shared.value[0], edits, recall, shared.value[1])
 
             def f(batch):
                 clean = np.ones(batch.num_rows, bool)
