@@ -2,8 +2,9 @@
 
 The global histogram of segment lengths is exact over all documents and has at most `max_length` bins, so it fits the driver;
 dynamic programming over it chooses the `buckets` upper bounds that minimise padding. Batches of at most `budget` padded
-positions then form inside each bucket. A bucket is numbered in shards of about `shard_rows` segments, dealt by hash, so a
-bucket that holds most of the corpus is never ordered in one task; each shard ends with at most one batch that isn't full.
+positions then form inside each bucket. A bucket is numbered in shards of about `shard_rows` segments, dealt by hash of id and
+segment, so a bucket that holds most of the corpus is never ordered in one task; a shard that turns out more than twice as
+large, because ids repeat or are null, is dealt again by row. Each shard ends with at most one batch that isn't full.
 
 Length: words plus one end mark, or any column of integers. A document longer than `max_length` is cut into segments of
 `max_length` and a rest; nothing is dropped.
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from foliant.llm.common import stored, table, words
+from foliant.llm.common import maybe_broadcast, stored, table, words
 
 
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -71,7 +72,7 @@ def pack(
     """One row for each segment: doc_id, segment, start, length, bucket, bound, shard, batch, slot."""
     if length is None:
         length = F.size(words(F.col(text_col)))
-    cut = stored(segments(docs, length, id_col, max_length), "segments")
+    cut = stored(segments(docs, length, id_col, max_length).withColumn("row", F.monotonically_increasing_id()), "segments")
     histogram = sorted(tuple(r) for r in cut.groupBy("length").count().collect())  # at most max_length rows
     lengths, counts = (np.array([r[k] for r in histogram], np.int64) for k in (0, 1))
     bounds = optimal_bounds(lengths, counts, buckets) or [max_length]
@@ -82,8 +83,13 @@ def pack(
         bucket = F.when(F.col("length") <= bounds[k], F.lit(k)).otherwise(bucket)
     of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("bucket") + 1)
     cut = cut.withColumn("bucket", bucket)
-    cut = cut.withColumn("bound", of(bounds)).withColumn("shard", F.pmod(F.xxhash64("doc_id", "segment"), of(np.maximum(1, -(-held // shard_rows))).cast("long")).cast("int"))
-    place = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "segment", "length")) - 1
+    shards = np.maximum(1, -(-held // shard_rows))
+    cut = cut.withColumn("bound", of(bounds)).withColumn("shard", F.pmod(F.xxhash64("doc_id", "segment"), of(shards).cast("long")).cast("int"))
+    crowded = cut.groupBy("bucket", "shard").count().where(F.col("count") > 2 * shard_rows).select("bucket", "shard", F.ceil(F.col("count") / shard_rows).alias("parts"))
+    cut = cut.join(maybe_broadcast(stored(crowded, "crowded")), ["bucket", "shard"], "left")
+    again = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1).cast("long")))
+    cut = cut.withColumn("shard", F.col("shard") + (again * of(shards)).cast("int"))
+    place = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "segment", "length", "row")) - 1
     size = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bound"))).cast("int")
     cut = cut.withColumn("place", place)
     return cut.select("doc_id", "segment", "start", "length", "bucket", "bound", "shard", F.floor(F.col("place") / size).cast("int").alias("batch"), (F.col("place") % size).alias("slot"))
