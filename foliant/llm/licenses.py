@@ -180,8 +180,8 @@ cut as (select doc_id, r, regexp_replace(regexp_replace(regexp_replace(t, '\n[ \
 whole as (select doc_id, r, unnest(list_filter(string_split(replace(t, chr(2), '.'), chr(1)), lambda x: regexp_matches(x, '{_SPREAD}'))) s, generate_subscripts(list_filter(string_split(replace(t, chr(2), '.'), chr(1)), lambda x: regexp_matches(x, '{_SPREAD}')), 1) k from cut),
 parted as (select doc_id, r, k, {case(normal.format("s"), True)} w,
   list_filter(list_transform(list_filter(string_split(regexp_replace(s, '([.!?;])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)), lambda p: regexp_matches(p, '{KEYWORDS}')), lambda p: {case(normal.format("p"))}), lambda x: x is not null) ids from whole),
-both as (select doc_id, r, k, case when w is null or list_contains(ids, w) then ids else [w] || list_filter(ids, lambda x: x <> 'some-license' and w <> 'not-licensed' and not (x = 'gpl3' and w = 'gpl3-or-later')) end ids from parted),
-found as (select l.doc_id, l.r, coalesce(flatten(list(b.ids order by b.k) filter (b.ids is not null)), []::varchar[]) ids from low l left join both b on l.r = b.r group by l.doc_id, l.r),
+marked as (select doc_id, r, k, case when w is null or list_contains(ids, w) then ids else [w] || list_filter(ids, lambda x: x <> 'some-license' and w <> 'not-licensed' and not (x = 'gpl3' and w = 'gpl3-or-later')) end ids from parted),
+found as (select l.doc_id, l.r, coalesce(flatten(list(b.ids order by b.k) filter (b.ids is not null)), []::varchar[]) ids from low l left join marked b on l.r = b.r group by l.doc_id, l.r),
 matched as (select doc_id, ids, list_filter(string_split({left}, '|'), lambda x: x <> '') m from found)
 select doc_id, len(ids)::bigint n_sentences, array_to_string(ids, ',') sentence_ids,
   array_to_string(list_sort(list_distinct(list_transform(list_filter(m, lambda x: starts_with(x, '<')), lambda x: regexp_replace(x, '[<>]', '', 'g')))), ',') licenses,
