@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.text import body, greedy_json, lazy_json, let, norm, strip, think, word_count
@@ -18,6 +18,7 @@ FACETS = {
     "specificity": ["named", "figures", "both", "general"],
     "register_facet": ["report", "negotiation", "decision", "directive", "request", "mention", "speculation"],
 }
+#: Closed values of time, and the facets of one value (fixed values).
 TIMES = ["historical", "current", "forward_looking"]
 SINGLE = ["type", "audience", "time", "purpose"]
 LABEL = "struct<topic:string,scope:string,publicity:string,temporality:string,specificity:string,register_facet:string>"
@@ -26,7 +27,9 @@ FLAT = "struct<topics:array<string>,tags:array<string>>"
 
 
 def strict_json(text: Column) -> Column:
-    """The value as a variant; null if the text isn't exactly one JSON object. Repeated keys need spark.sql.variant.allowDuplicateKeys."""
+    """The value as a variant; null if the text isn't exactly one JSON object. Of a repeated key the last counts, which the session is set to allow."""
+    if session := SparkSession.getActiveSession():
+        session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
     def one(boxed: Column) -> Column:
         first = F.try_variant_get(boxed, "$[0]", "variant")

@@ -67,3 +67,21 @@ def facet_prior(card: Column, vocabulary: dict[str, Column]) -> Column:
 def total(card: Column, parts: dict[str, Column]) -> Column:
     score = sum((WEIGHTS[k] * parts[k] for k in WEIGHTS), F.lit(0.0))
     return F.when(card.isNull(), 0.0).otherwise(score)
+
+
+def completion_text(completion: Column, chat: bool = False) -> Column:
+    """The text of a completion: a string, or with `chat` the first message of a list of structs with content."""
+    return F.get(completion, F.lit(0))["content"] if chat else completion
+
+
+def scored(completion: Column, document: Column, generic: Column, known: Column, vocabulary: dict[str, Column], chat: bool = False) -> Column:
+    """Reward of each completion for its document, as a trainer asks for it: 0 for a completion that is no card."""
+    from foliant.functions.gates import card_gate
+
+    low = F.lower(document)
+
+    def of(card: Column) -> Column:
+        parts = {"grounding": grounding(card["subject"], low), "nonredundant": nonredundant(card), "register": register(card["subject"], generic, known), "facet_prior": facet_prior(card, vocabulary)}
+        return total(card, parts)
+
+    return let(card_gate(completion_text(completion, chat)), of)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Words without meaning of their own in a term (fixed values).
 STOP = ["the", "a", "an", "of", "and", "or", "for", "to", "in", "on", "with", "by"]
+#: Wording that prompts already written hold, by which their topics are found again (fixed values).
 ANCHOR_OPEN = "Prefer these catalog topics when they genuinely fit: "
 ANCHOR_CLOSE = ". If the content"
 
@@ -95,7 +96,8 @@ def custom_id(prefix: str, i: Column, width: int = 5) -> Column:
 
 
 def parse_custom_id(c: Column) -> Column:
-    return F.try_to_number(F.split_part(c, F.lit("-"), F.lit(2)), F.lit("999999999999")).cast("long")
+    """The number behind the first hyphen; null if it is none."""
+    return F.split_part(c, F.lit("-"), F.lit(2)).try_cast("bigint")
 
 
 def user_turn(text: Column) -> Column:
@@ -121,9 +123,11 @@ def candidate(text: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), strip(F.left(text, F.lit(400))))
 
 
-def clamp(value: Column, high: int = 3) -> Column:
-    """Within 0 and high; null for what is no number."""
-    return let(value.try_cast("int"), lambda n: F.when(n.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(high), n))))
+def clamp(number: Column, high: int | None = 3) -> Column:
+    """Within 0 and high, or at least 0; null for what is no number."""
+    low = lambda n: F.greatest(F.lit(0).cast("bigint"), n)
+    bound = lambda n: low(n) if high is None else F.least(F.lit(high).cast("bigint"), low(n))
+    return let(number.try_cast("bigint"), lambda n: F.when(n.isNotNull(), bound(n))).cast("int")
 
 
 def card_json(subject, type_, audience, time, purpose, flags) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import ANCHOR_CLOSE, ANCHOR_OPEN, assistant_turn, card_json, custom_id, listing, user_turn
+from foliant.functions.text import ANCHOR_CLOSE, ANCHOR_OPEN, assistant_turn, card_json, custom_id, listing, merge_tags, recover_anchor, user_turn
 
 #: Characters of the document in each kind of prompt.
 CUTS = {"manifest": 4000, "judge": 3500, "rank": 3000, "match": 900}
@@ -15,6 +15,10 @@ SYSTEM = {
     "faceted": "Fill in a catalog card for the document: subject (1 to 3), type, audience, time, purpose, content_flags (up to 3). Think first inside <think> tags, then answer with the card as JSON.",
     "student": "Fill in a catalog card for the document: subject (1 to 3), type, audience, time, purpose, content_flags (up to 3). Answer with the card as JSON.",
     "tags": "Name up to twelve tags for the document. Answer with JSON of the form {\"tags\": [...]}.",
+    "direct": "Read the document and name its topics and tags in your own terms. Answer at once with JSON of the form {\"topics\": [...], \"tags\": [...]}.",
+    "flat": "Read the document and give one flat list of topics from the closed list. Answer with JSON of the form {\"topics\": [...]}.",
+    "none": "Read the document. Where none of the listed topics fits, answer with an empty list of topics rather than with a near miss.",
+    "teacher": "Fill in a catalog card for the document as a careful librarian would: only what the text itself supports. Answer with the card as JSON.",
 }
 
 
@@ -46,15 +50,37 @@ def answers(responses: DataFrame) -> DataFrame:
     return responses.select(parse_custom_id(F.col("custom_id")).alias("i"), content.alias("content"))
 
 
+def with_manifest(answered: DataFrame, manifest: DataFrame, key: str = "i") -> tuple[DataFrame, DataFrame]:
+    """Answers joined with their documents, and the answers that have none, which no consumer may pass over."""
+    return answered.join(manifest, key), answered.join(manifest.select(key), key, "left_anti")
+
+
+def tag_counts(judged: DataFrame, preds: DataFrame | None, key: str = "i") -> DataFrame:
+    """Adds n_tags: those of the prediction, 0 where there is none; null for all without predictions."""
+    if preds is None:
+        return judged.withColumn("n_tags", F.lit(None).cast("int"))
+    counted = preds.select(key, F.size(F.coalesce("tags", F.array().cast("array<string>"))).alias("n_tags"))
+    return judged.join(counted, key, "left").withColumn("n_tags", F.coalesce("n_tags", F.lit(0)))
+
+
+def tags_only(df: DataFrame, system: str) -> DataFrame:
+    """messages with topics and tags merged into tags, and the topics of the old prompt kept; rows without any tag are dropped."""
+    merged = df.withColumn("_tags", merge_tags(F.col("topics"), F.col("tags"))).where(F.size("_tags") > 0)
+    messages = F.array(message("system", prompt(system, recover_anchor(F.col("system")))), message("user", F.col("user")), message("assistant", F.to_json(F.struct(F.col("_tags").alias("tags")))))
+    return merged.select(messages.alias("messages"), "src", "i")
+
+
 def latest(df: DataFrame, key: str = "i", position: str = "pos") -> DataFrame:
-    """The last row of each key in file order."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(position)))).where("_r = 1").drop("_r")
+    """The last row of each key in file order; aggregated before it is shuffled, so that a frequent key is one row of each task."""
+    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), position).alias("_last")).select("_last.*")
 
 
-def positional(left: DataFrame, right: DataFrame, *order_left, order_right=None) -> DataFrame:
-    """Rows joined by their place; both sides must be of one length."""
+def positional(left: DataFrame, right: DataFrame, *order_left, order_right=None, head: int = 0) -> DataFrame:
+    """Rows joined by their place; both sides must be of one length. With `head`, the first so many rows of either."""
     number = lambda df, *o: df.withColumn("pos", F.row_number().over(Window.orderBy(*o)) - 1)
     a, b = number(left, *order_left), number(right, *(order_right or order_left))
+    if head:
+        a, b = a.where(F.col("pos") < head), b.where(F.col("pos") < head)
     if a.count() != b.count():
         raise ValueError("both sides must have as many rows")
     return a.join(b, "pos")
@@ -85,6 +111,11 @@ def topics_judge_prompt(text: Column, topics: Column, tags: Column) -> Column:
     return F.concat(F.lit("Grade each topic as precise, vague or wrong, and count the apt tags.\nTopics: "), F.to_json(topics), F.lit("\nTags: "), F.to_json(tags), F.lit("\nDocument:\n"), F.left(text, F.lit(CUTS["judge"])))
 
 
+def tags_judge_prompt(text: Column, tags: Column) -> Column:
+    """Faithfulness prompt over one flat list of tags."""
+    return F.concat(F.lit("Grade each tag as precise, vague or wrong for the document alone, and count clear subjects that no tag covers.\nTags: "), F.to_json(tags), F.lit("\nDocument:\n"), F.left(text, F.lit(CUTS["judge"])))
+
+
 def rank_prompt(text: Column, candidates: Column) -> Column:
     return F.concat(F.lit("Rank the cards from best to worst and score each from 0 to 10.\n"), listing(candidates), F.lit("\nDocument:\n"), F.left(text, F.lit(CUTS["rank"])))
 

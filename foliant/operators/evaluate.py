@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GRADES = ["precise", "vague", "wrong"]
-FACETS = ["type", "audience", "time", "purpose"]
+from foliant.functions.verdicts import FACETS, GRADES
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -38,13 +37,17 @@ def judged_scores(df: DataFrame, gold: str = "gold", pred: str = "pred", matched
 
 
 def facet_accuracy(df: DataFrame, facets: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """facet, n, accuracy over topics that both sides have; of repeated topics the last label counts, null equals null."""
+    """facet, n, accuracy over topics that both sides have; of repeated topics the last label counts, null equals null.
+
+    A label may have `keys`, the facets that it names; a facet that either side doesn't name is not counted."""
     last = lambda labels, t: F.element_at(F.filter(labels, lambda l: l["topic"] == t), -1)
     topics = F.array_intersect(F.transform(gold, lambda l: l["topic"]), F.transform(pred, lambda l: l["topic"]))
     agreed = df.select(gold, pred, F.explode(topics).alias("topic"))
     agreed = agreed.select(last(F.col(gold), F.col("topic")).alias("g"), last(F.col(pred), F.col("topic")).alias("p"))
-    stacked = agreed.select(F.explode(F.array(*[F.struct(F.lit(k).alias("facet"), F.col(f"g.{k}").eqNullSafe(F.col(f"p.{k}")).alias("same")) for k in facets])).alias("x")).select("x.*")
-    return stacked.groupBy("facet").agg(F.count("*").alias("n"), F.avg(F.col("same").cast("double")).alias("accuracy"))
+    has = lambda c, side, k: F.array_contains(f"{c}.keys", k) if "keys" in df.schema[side].dataType.elementType.names else F.lit(True)
+    named = lambda k: F.coalesce(has("g", gold, k) & has("p", pred, k), F.lit(True))
+    rows = F.array(*[F.struct(F.lit(k).alias("facet"), named(k).alias("named"), F.col(f"g.{k}").eqNullSafe(F.col(f"p.{k}")).alias("same")) for k in facets])
+    return agreed.select(F.explode(rows).alias("x")).select("x.*").where("named").groupBy("facet").agg(F.count("*").alias("n"), F.avg(F.col("same").cast("double")).alias("accuracy"))
 
 
 def faithful(grades: Column, missed: Column, oks: Column | None = None, flags: Column | None = None) -> Column:
@@ -56,23 +59,29 @@ def faithful(grades: Column, missed: Column, oks: Column | None = None, flags: C
     return ok
 
 
-def _graded(k: str) -> Column:
-    return F.sum(F.size(F.filter("grades", lambda g: g == k)))
+def _known(c: str = "grades") -> Column:
+    """The grades of the closed set."""
+    return F.filter(c, lambda g: g.isin(GRADES))
+
+
+def _shares(good: Column, prefix: str) -> list[Column]:
+    of = lambda c: F.sum(F.when(good, c))
+    graded = of(F.size(_known()))
+    return [_ratio(of(F.size(F.filter("grades", lambda g: g == k))), graded).alias(f"{prefix}_{k}") for k in GRADES]
 
 
 def facet_rollup(df: DataFrame) -> DataFrame:
-    """Roll-up by mode and over ALL of rows with mode, grades, missed, facet_ok (array of 4), flags_ok, redundant, and failed."""
-    good = df.where("not failed")
-    n = F.count("*")
-    graded = F.sum(F.size("grades"))
-    shares = [_ratio(_graded(k), graded).alias(f"subject_{k}") for k in GRADES]
-    facets = [_ratio(F.count_if(F.get("facet_ok", F.lit(k))), n).alias(f"{name}_ok") for k, name in enumerate(FACETS)]
-    flags = _ratio(F.sum(F.size(F.filter("flags_ok", lambda x: x))), F.sum(F.size("flags_ok"))).alias("flags_ok_rate")
-    rolled = good.groupingSets([["mode"], []], "mode").agg(
-        F.coalesce("mode", F.lit("ALL")).alias("bucket"), n.alias("docs"), *shares, _ratio(F.sum("missed"), n).alias("missed_avg"), *facets, flags,
-        _ratio(F.sum("redundant"), n).alias("redundant_avg"), _ratio(F.count_if(faithful(F.col("grades"), F.col("missed"), F.col("facet_ok"), F.col("flags_ok"))), n).alias("faithful"),
+    """Roll-up by mode and over ALL of rows with mode, grades, missed, facet_ok (array of 4), flags_ok, redundant, and failed; failures are counted apart."""
+    good = ~F.col("failed")
+    n = F.count_if(good)
+    of = lambda c: F.sum(F.when(good, c))
+    facets = [_ratio(F.count_if(good & F.get("facet_ok", F.lit(k))), n).alias(f"{name}_ok") for k, name in enumerate(FACETS)]
+    flags = _ratio(of(F.size(F.filter("flags_ok", lambda x: x))), of(F.size("flags_ok"))).alias("flags_ok_rate")
+    whole = F.coalesce(good & faithful(F.col("grades"), F.col("missed"), F.col("facet_ok"), F.col("flags_ok")), F.lit(False))
+    return df.groupingSets([["mode"], []], "mode").agg(
+        F.coalesce("mode", F.lit("ALL")).alias("bucket"), n.alias("docs"), F.count_if("failed").alias("failures"), *_shares(good, "subject"), _ratio(of(F.col("missed")), n).alias("missed_avg"), *facets, flags,
+        _ratio(of(F.col("redundant")), n).alias("redundant_avg"), _ratio(F.count_if(whole), n).alias("faithful"),
     ).drop("mode")
-    return rolled
 
 
 def topic_rollup(df: DataFrame) -> DataFrame:
@@ -80,11 +89,9 @@ def topic_rollup(df: DataFrame) -> DataFrame:
     good = ~F.col("failed")
     n = F.count_if(good)
     of = lambda c: F.sum(F.when(good, c))
-    graded = of(F.size("grades"))
-    graded_as = lambda k: of(F.size(F.filter("grades", lambda g: g == k)))
-    shares = [_ratio(graded_as(k), graded).alias(f"topic_{k}") for k in GRADES]
+    whole = F.coalesce(good & faithful(F.col("grades"), F.col("missed")), F.lit(False))
     return df.groupingSets([["mode"], []], "mode").agg(
-        F.coalesce("mode", F.lit("ALL")).alias("bucket"), n.alias("docs"), F.count_if("failed").alias("failures"), *shares, _ratio(F.count_if(good & faithful(F.col("grades"), F.col("missed"))), n).alias("faithful"),
+        F.coalesce("mode", F.lit("ALL")).alias("bucket"), n.alias("docs"), F.count_if("failed").alias("failures"), *_shares(good, "topic"), _ratio(F.count_if(whole), n).alias("faithful"),
         _ratio(of(F.col("missed")), n).alias("missed_avg"), F.try_divide(of(F.col("tags_apt")).cast("double"), of(F.col("n_tags")).cast("double")).alias("tags_apt_rate"),
     ).drop("mode")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.hashing import sha_order
 
-#: Quotas of each register in the draws (fixed values).
+#: Quotas of each register in the draws (fixed values): mail for e-mail, pdf for reports, ticket for issues, chat for dialogues, code for source files, log for logs.
 QUOTAS = {
     "first": {"mail": 760, "pdf": 560, "ticket": 340, "chat": 240, "code": 170, "log": 110},
     "more-": {"mail": 1100, "pdf": 1100, "chat": 500, "code": 300},
@@ -44,7 +44,8 @@ def quota_top(df: DataFrame, quotas: dict[str, int], prefix: str = "", source: s
 
 def first_seen(df: DataFrame, *order, fp: str = "fp") -> DataFrame:
     """One row for each fingerprint, the first in the given order; run after the quota, so repeats shrink the sample."""
-    return df.withColumn("_seen", F.row_number().over(Window.partitionBy(fp).orderBy(*order))).where("_seen = 1").drop("_seen")
+    by = F.struct(*[F.col(o).alias(f"o{k}") if isinstance(o, str) else o.alias(f"o{k}") for k, o in enumerate(order)])
+    return df.groupBy(fp).agg(F.min_by(F.struct(*df.columns), by).alias("_first")).select("_first.*")
 
 
 def base_and_boost(df: DataFrame, quotas: dict[str, int], pattern: str = RARE, registers=BOOST_REGISTERS, target: int = BOOST_TARGET, source: str = "src") -> DataFrame:
@@ -72,17 +73,42 @@ def next_id(df: DataFrame, column: str = "i") -> int:
     return int(df.agg(F.coalesce(F.max(column) + 1, F.lit(0))).head()[0])
 
 
+def second_draw(df: DataFrame, used: DataFrame, quotas: dict[str, int], prefix: str = "more-", source: str = "src", start: int = 0) -> DataFrame:
+    """A later draw, source by source in the order of the quotas: rows whose id or fingerprint is an id used before are out, and so are
+    fingerprints that an earlier source drew; repeats within a source stay. Adds n, numbers from start."""
+    fresh = excluding(df, used.select("id"), "id", used.select(F.col("id").alias("fp")).where("fp is not null"))
+    picked, seen = None, None
+    for k, (s, quota) in enumerate(quotas.items()):  # one step for each of a few sources
+        pool = fresh.where(F.col(source) == s)
+        pool = pool if seen is None else pool.join(seen, "fp", "left_anti").select(*fresh.columns)
+        drawn = quota_top(pool, {s: quota}, prefix, source).withColumn("src_ord", F.lit(k))
+        picked = drawn if picked is None else picked.unionByName(drawn)
+        seen = picked.select("fp").distinct()
+    return numbered(picked, "src_ord", "rank", start=start)
+
+
+def _cutoffs(df: DataFrame, limits: Column, most: int, source: str, key: str) -> DataFrame:
+    """_source, _last: the digest and key of the row at each source's limit, or of its last row. Ranks beyond `most` are pruned before the shuffle."""
+    digest = sha_order(F.col(key))
+    w = Window.partitionBy(source).orderBy(digest, F.col(key))
+    first = df.select(source, key).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).where(F.col("_r") <= limits)
+    return first.groupBy(F.col(source).alias("_source")).agg(F.max(F.struct(digest.alias("h"), F.col(key).alias("k"))).alias("_last"))
+
+
 def stratified_split(df: DataFrame, holdout: int = 35, source: str = "src", key: str = "i") -> DataFrame:
     """split: the first rows of each source in digest order are eval, the rest train."""
-    rank = F.row_number().over(Window.partitionBy(source).orderBy(sha_order(F.col(key)), F.col(key)))
-    return df.withColumn("split", F.when(rank <= holdout, "eval").otherwise("train"))
+    last = F.broadcast(_cutoffs(df, F.lit(holdout), holdout, source, key))  # one row for each source
+    inside = F.struct(sha_order(F.col(key)).alias("h"), F.col(key).alias("k")) <= F.col("_last")
+    return df.join(last, F.col(source).eqNullSafe(F.col("_source")), "left").select(*df.columns, F.when(inside, "eval").otherwise("train").alias("split"))
 
 
 def register_split(df: DataFrame, train_sources: list[str], in_dist: int = 35, out_cap: int = 100, source: str = "src", key: str = "i") -> DataFrame:
     """split: eval_id and train for the training registers; eval_ood, and drop beyond the cap, for the held-out ones."""
-    rank = F.row_number().over(Window.partitionBy(source).orderBy(sha_order(F.col(key)), F.col(key)))
-    inside = F.col(source).isin(train_sources)
-    return df.withColumn("split", F.when(inside & (rank <= in_dist), "eval_id").when(inside, "train").when(rank <= out_cap, "eval_ood").otherwise("drop"))
+    known = F.coalesce(F.col(source).isin(train_sources), F.lit(False))
+    last = F.broadcast(_cutoffs(df, F.when(known, in_dist).otherwise(out_cap), max(in_dist, out_cap), source, key))
+    first = F.struct(sha_order(F.col(key)).alias("h"), F.col(key).alias("k")) <= F.col("_last")
+    split = F.when(known & first, "eval_id").when(known, "train").when(first, "eval_ood").otherwise("drop")
+    return df.join(last, F.col(source).eqNullSafe(F.col("_source")), "left").select(*df.columns, split.alias("split"))
 
 
 def oversampled(df: DataFrame, when: Column, times: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from foliant.functions.text import toks
@@ -29,6 +29,17 @@ def reject_histogram(gated: DataFrame, k: int = 12) -> DataFrame:
     return top(gated.where(F.col("reason").isNotNull()).select("reason"), "reason", k)
 
 
+def yields(gated: DataFrame) -> DataFrame:
+    """One row: survivors, rejects and the share of survivors, of rows with ok."""
+    ok = F.count_if("ok")
+    return gated.agg(ok.alias("survivors"), F.count_if(~F.col("ok")).alias("rejects"), F.coalesce(F.try_divide(ok.cast("double"), F.count("*")), F.lit(0.0)).alias("yield"))
+
+
+def observed(gated: DataFrame, observation: Observation) -> DataFrame:
+    """gated as it is, whose survivors and rejects are counted as it is written, without a pass of their own."""
+    return gated.observe(observation, F.count_if("ok").alias("survivors"), F.count_if(~F.col("ok")).alias("rejects"))
+
+
 def null_facets(cards: DataFrame, facets=("type", "audience", "time", "purpose")) -> DataFrame:
     return cards.agg(F.count("*").alias("n"), *[F.count_if(F.col(f).isNull()).alias(f"null_{f}") for f in facets])
 

@@ -67,6 +67,18 @@ def ticket_flatten(spark, sf_dir):
     return d.select("i", ticket_text(issue, comments).alias("ticket"))
 
 
+@query(f"""with {SQL_REG}, cut as (select i, list_filter(string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ' '), lambda x: x <> '') w from reg)
+select i, array_to_string(list_filter([case when w[1] is not null then 'Issue: ' || w[1] end] || list_transform(list_slice(w, 2, 4), lambda x: 'Comment: ' || x), lambda x: x is not null), chr(10) || chr(10)) ticket from cut""")
+def ticket_literals(spark, sf_dir):
+    """Tickets whose issue is a Python literal and whose comments are either a literal or JSON."""
+    d = registered(spark, sf_dir).select("i", F.filter(F.split(F.regexp_replace("text", "[^a-zA-Z ]", ""), " "), lambda x: x != "").alias("w"))
+    issue = F.concat(F.lit("{'summary': "), F.coalesce(F.concat(F.lit("'"), F.get("w", F.lit(0)), F.lit("'")), F.lit("None")), F.lit(", 'description': None, 'open': True}"))
+    bodies = F.transform(F.slice("w", 2, 3), lambda x: F.concat(F.lit("{'body': '"), x, F.lit("'}")))
+    literal = F.concat(F.lit("["), F.array_join(bodies, ", "), F.lit("]"))
+    comments = F.when(F.col("i") % 2 == 0, literal).otherwise(F.translate(literal, "'", '"'))
+    return d.select("i", ticket_text(issue, comments, literals=True).alias("ticket"))
+
+
 @query("select 'events#' || doc_id \"name\", length(text)::int n from documents where doc_id < 300 and length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 200")
 def dataset_scan_limit(spark, sf_dir):
     d = dataset(table(spark, sf_dir, "documents"), "events", "doc_id", limit=300)
@@ -124,6 +136,35 @@ def scale_draw_ids(spark, sf_dir):
     return sampling.numbered(d, "src_ord", "rank", start=100).select(F.col("n").cast("long").alias("n"), "i", "src")
 
 
+_SQL_RARE = sampling.RARE.replace("(?iU)", "(?i)")
+_RARE_WORDS = [" the Salary.", " api key", " 10-K", " bonuses", " access_token", "", ""]
+
+
+@query(f"""with {SQL_REG}, t as (select i, src, fp, left(text, 100) || list_extract({_RARE_WORDS}, i % 7 + 1) text from reg),
+pool as (select * from t where regexp_matches(text, '{_SQL_RARE}')), boost as (select * from pool where src in ('mail', 'pdf', 'ticket') order by sha256(fp), i limit 30)
+select i, tier from (select i, 'boost' tier, row_number() over (partition by fp order by i) s from boost) where s = 1 and tier = 'boost' union all select i, 'pool' from pool where src = 'log'""")
+def rare_topic_boost(spark, sf_dir):
+    """The boost tier with the pattern of rare topics itself, after an empty base, and the logs that hold one, which are never boosted."""
+    words = F.get(F.array(*map(F.lit, _RARE_WORDS)), (F.col("i") % 7).cast("int"))
+    d = registered(spark, sf_dir).withColumn("text", F.concat(F.left("text", F.lit(100)), words))
+    boost = sampling.base_and_boost(d, {"none": 1}, target=30).where("tier = 'boost'").select("i", "tier")
+    return boost.unionByName(d.where((F.col("src") == "log") & F.col("text").rlike(sampling.RARE)).select("i", F.lit("pool").alias("tier")))
+
+
+_SECOND = {"pdf": 12, "mail": 9, "chat": 5}
+_SQL_SECOND = ", ".join(
+    f"""r{k} as (select *, {k} o, row_number() over (order by sha256('more-' || fp), i) r from fresh where src = '{s}'{"".join(f" and fp not in (select fp from p{j})" for j in range(k))}), p{k} as (select * from r{k} where r <= {q})"""
+    for k, (s, q) in enumerate(_SECOND.items())
+)
+
+
+@query(f"""with {SQL_REG}, fresh as (select * from reg where (id is null or id not in (select 'd' || doc_id from labels)) and fp not in (select 'd' || doc_id from labels)), {_SQL_SECOND}
+select i, src, row_number() over (order by o, r) + 499 n from ({" union all ".join(f"select * from p{k}" for k in range(len(_SECOND)))})""")
+def second_draw(spark, sf_dir):
+    used = table(spark, sf_dir, "labels").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id")).distinct()
+    return sampling.second_draw(registered(spark, sf_dir), used, _SECOND, start=500).select("i", "src", F.col("n").cast("long").alias("n"))
+
+
 @query("select d.doc_id i from documents d where d.doc_id not in (select doc_id from labels)")
 def resume_todo(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.functions import gates, reward
+from foliant.functions import gates, reward, verdicts as parsed
 from foliant.functions.gates import FACETS
+from foliant.functions.hashing import hash_mod, key
 from foliant.operators import assemble, evaluate, stats
 from foliant.plans.declare import declarer
-from foliant.plans.fixtures import SQL_CARDS, gold_and_pred, registered, sql_hash, verdicts, with_cards, with_labels
+from foliant.plans.fixtures import SQL_CARDS, SQL_JUDGED, gold_and_pred, judged, registered, sql_hash, verdicts, with_cards, with_labels
 from foliant.plans.gating import _SQL_LABELS
+from foliant.plans.shared import stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -21,41 +23,45 @@ def cards(spark, sf_dir):
 
 
 # the fixture's subjects are single tokens without stop words, which SQL may rely on
+_SQL_VOCABULARY = sql_hash("'voc-' || i", 2) + " = 0"
 _SQL_REWARD = f"""{SQL_CARDS},
 tokens as (select token, count(*) n from (select unnest(subject) token from cards) where token not in ('') group by token),
 generic as (select list(token) g from (select token from tokens order by n desc, token limit 25)),
-vocab as (select (select list(token) from tokens) known),
+vocab as (select coalesce(list(token), []) known from (select token from (select unnest(subject) token from cards where {_SQL_VOCABULARY}) group by token having count(*) >= 2)),
 facets as (select facet, list(v) vs from (select facet, v from (select 'type' facet, "type" v from cards union all select 'audience', audience from cards union all select 'purpose', purpose from cards) where v is not null group by all having count(*) >= 2) group by facet),
 fv as (select coalesce((select vs from facets where facet = 'type'), []) tv, coalesce((select vs from facets where facet = 'audience'), []) av, coalesce((select vs from facets where facet = 'purpose'), []) pv),
 parts as (select i, src, subject,
   coalesce(list_sum(list_transform(subject, lambda s: case when contains(low, s) or contains(low, substr(s, 1, greatest(4, length(s) - 3))) then 1.0 else 0.0 end))::double / nullif(len(subject), 0), 0.0) grounding,
   greatest(0.0, 1.0 - least(1.0, 0.25 * (len(subject) + len(content_flags) + ("type" is not null)::int + (audience is not null)::int + (purpose is not null)::int
     - len(list_distinct(list_filter(subject || content_flags || ["type", audience, purpose], lambda x: x is not null))))))::double nonredundant,
-  coalesce(list_sum(list_transform(subject, lambda s: 0.4 * 0.4 + case when list_contains(g, s) then 0.0 else 0.35 end + 0.25))::double / nullif(len(subject), 0), 0.0) register,
+  coalesce(list_sum(list_transform(subject, lambda s: 0.4 * 0.4 + case when list_contains(g, s) then 0.0 else 0.35 end + case when list_contains(known, s) then 0.25 else 0.0 end))::double / nullif(len(subject), 0), 0.0) register,
   ((case when "type" is null then 0.3 when list_contains(tv, "type") then 1.0 else 0.0 end) + (case when audience is null then 0.3 when list_contains(av, audience) then 1.0 else 0.0 end) + (case when purpose is null then 0.3 when list_contains(pv, purpose) then 1.0 else 0.0 end))::double / 3.0 facet_prior
   from (select *, lower(left(text, 4000)) low from cards), generic, vocab, fv),
 rewards as (select *, case when len(subject) = 0 then 0.0 else 0.45 * grounding + 0.25 * nonredundant + 0.20 * register + 0.10 * facet_prior end reward from parts)"""
 
 
+#: Facet values that a reward looks values up in, at most; they go into every row's expression.
+MAX_VALUES = 100_000
+
+
 def rewarded(spark, sf_dir):
-    """Cards with the four parts of the reward and the reward; vocabulary by joins, tokens of the corpus by the cards' own tokens."""
+    """Cards with the four parts of the reward and the reward; generic tokens and facet values are one row each, known tokens come
+    by a join with the token table of half of the cards. The text is read for grounding alone and goes no further."""
     d = cards(spark, sf_dir)
-    one = F.lit(1).alias("k")
-    generic = stats.generic_tokens(d).agg(F.collect_list("token").alias("generic")).select("generic", one)
-    values = stats.facet_vocabulary(d).groupBy().pivot("facet", ["type", "audience", "purpose"]).agg(F.collect_list("value"))
-    values = values.select(*[F.coalesce(k, F.array().cast("array<string>")).alias(f"v_{k}") for k in ("type", "audience", "purpose")], one)
-    d = d.withColumn("k", F.lit(1)).join(F.broadcast(generic), "k").join(F.broadcast(values), "k").drop("k")
-    # every token of a card of this corpus is in its token table, so a subject's known tokens are its own
+    values = stats.facet_vocabulary(d)
+    if values.count() > MAX_VALUES:
+        raise ValueError(f"a reward takes at most {MAX_VALUES} facet values")
+    none, facets = F.array().cast("array<string>"), ("type", "audience", "purpose")
+    listed = values.agg(*[F.coalesce(F.collect_list(F.when(F.col("facet") == k, F.col("value"))), none).alias(k) for k in facets])
+    generic = stats.generic_tokens(d).agg(F.collect_list("token").alias("generic"))
+    vocabulary = stats.token_frequency(d.where(hash_mod(key("voc-", F.col("i")), 2) == 0)).where("n >= 2").select("token")
     card = F.struct("subject", "type", "audience", "time", "purpose", "content_flags")
-    low = F.lower(F.left("text", F.lit(4000)))
-    parts = {
-        "grounding": reward.grounding(F.col("subject"), low),
-        "nonredundant": reward.nonredundant(card),
-        "register": reward.register(F.col("subject"), F.col("generic"), F.flatten(F.transform("subject", reward.toks))),
-        "facet_prior": reward.facet_prior(card, {k: F.col(f"v_{k}") for k in ("type", "audience", "purpose")}),
-    }
-    d = d.withColumns(parts)
-    return d.withColumn("reward", reward.total(F.when(F.size("subject") > 0, card), {k: F.col(k) for k in parts}))
+    d = d.withColumns({"grounding": reward.grounding(F.col("subject"), F.lower(F.left("text", F.lit(4000)))), "nonredundant": reward.nonredundant(card)}).drop("text")
+    tokens = d.select("i", F.explode(F.array_distinct(F.flatten(F.transform("subject", reward.toks)))).alias("token"))
+    known = tokens.join(vocabulary, "token").groupBy("i").agg(F.collect_set("token").alias("known"))
+    d = d.join(known, "i", "left").withColumns({"known": F.coalesce("known", none), "generic": generic.scalar()} | {f"v_{k}": listed.select(k).scalar() for k in facets})
+    d = d.withColumns({"register": reward.register(F.col("subject"), F.col("generic"), F.col("known")), "facet_prior": reward.facet_prior(card, {k: F.col(f"v_{k}") for k in facets})})
+    return d.withColumn("reward", reward.total(F.when(F.size("subject") > 0, card), {k: F.col(k) for k in reward.WEIGHTS}))
 
 
 @query(f"with {_SQL_REWARD} select i, round(grounding, 6) grounding, round(nonredundant, 6) nonredundant, round(register, 6) register, round(facet_prior, 6) facet_prior, round(reward, 6)::double reward from rewards")
@@ -78,8 +84,6 @@ def topic_prf(spark, sf_dir):
 
 @query(f"with {_SQL_GOLD}, m as (select *, least({sql_hash("'m-' || i", 4)}, len(gold), len(pred)) t from hits), s as (select sum(t)::bigint tp, sum(len(pred) - t)::bigint fp, sum(len(gold) - t)::bigint fn from m) select tp, fp, fn, round(\"precision\", 6) \"precision\", round(recall, 6) recall, round(f1, 6) f1 from (select *, {_SQL_PRF} from s)")
 def judged_prf(spark, sf_dir):
-    from foliant.functions.hashing import hash_mod, key
-
     d = gold_and_pred(cards(spark, sf_dir)).withColumn("matched", hash_mod(key("m-", F.col("i")), 4).cast("int"))
     return evaluate.judged_scores(d).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
@@ -109,17 +113,19 @@ _SQL_VERDICTS = f"""{SQL_CARDS},
 v as (select i, {_sql_mode()} "mode", {sql_hash("'bad-' || i", 50)} = 0 failed, list_transform(range(len(subject)), lambda k: list_extract(['precise', 'precise', 'vague', 'wrong'], ({sql_hash("'grade-' || i || '-' || k", 4)} + 1)::int)) grades,
   least(3, {sql_hash("'miss-' || i", 5)}) missed, [{", ".join(sql_hash(f"'ok-{k}-' || i", 5) + " > 0" for k in ("type", "audience", "time", "purpose"))}] facet_ok,
   list_transform(content_flags, lambda f: {sql_hash("'flag-' || i || f", 3)} > 0) flags_ok, {sql_hash("'red-' || i", 2)} redundant, {sql_hash("'apt-' || i", 3)} tags_apt, {sql_hash("'apt-' || i", 3)} + {sql_hash("'tags-' || i", 3)} n_tags from cards)"""
+_ROLLED = ["docs", *[f"subject_{k}" for k in parsed.GRADES], "missed_avg", *[f"{k}_ok" for k in parsed.FACETS], "flags_ok_rate", "redundant_avg", "faithful"]
 _share = lambda k, n: f"round(coalesce(sum(len(list_filter(grades, lambda g: g = '{k}'))) / nullif(sum(len(grades)), 0), 0)::double, 6) {n}_{k}"
 
 
-@query(f"""with {_SQL_VERDICTS} select coalesce("mode", 'ALL') bucket, count(*) docs, {_share("precise", "subject")}, {_share("vague", "subject")}, {_share("wrong", "subject")}, round((sum(missed) / count(*))::double, 6) missed_avg,
+@query(f"""with {_SQL_VERDICTS}, f as (select coalesce("mode", 'ALL') bucket, count_if(failed)::bigint failures from v group by grouping sets (("mode"), ()))
+  select bucket, failures, {", ".join(_ROLLED)} from (select coalesce("mode", 'ALL') bucket, count(*) docs, {_share("precise", "subject")}, {_share("vague", "subject")}, {_share("wrong", "subject")}, round((sum(missed) / count(*))::double, 6) missed_avg,
   {", ".join(f"round((count_if(facet_ok[{k + 1}]) / count(*))::double, 6) {n}_ok" for k, n in enumerate(("type", "audience", "time", "purpose")))},
   round(coalesce(sum(len(list_filter(flags_ok, lambda x: x))) / nullif(sum(len(flags_ok)), 0), 0)::double, 6) flags_ok_rate, round((sum(redundant) / count(*))::double, 6) redundant_avg,
   round((count_if(not list_contains(grades, 'wrong') and missed = 0 and list_bool_and(facet_ok) and coalesce(list_bool_and(flags_ok), true)) / count(*))::double, 6) faithful
-  from v where not failed group by grouping sets (("mode"), ())""")
+  from v where not failed group by grouping sets (("mode"), ())) join f using (bucket)""")
 def facet_rollup(spark, sf_dir):
     r = evaluate.facet_rollup(verdicts(cards(spark, sf_dir)))
-    return r.select("bucket", "docs", *[F.round(c, 6).alias(c) for c in r.columns if c not in ("bucket", "docs")])
+    return r.select("bucket", "docs", "failures", *[F.round(c, 6).alias(c) for c in r.columns if c not in ("bucket", "docs", "failures")])
 
 
 @query(f"""with {_SQL_VERDICTS}, g as (select * from v where not failed)
@@ -148,7 +154,7 @@ def validated(spark, sf_dir):
 @query(f"""with {_SQL_VALIDATION}, ranks as (select rank() over (order by reward) + (count(*) over (partition by reward) - 1) / 2 rx, rank() over (order by quality) + (count(*) over (partition by quality) - 1) / 2 ry from judged)
 select count(*) n, round(coalesce(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 0), 5) rho from ranks""")
 def reward_spearman(spark, sf_dir):
-    return evaluate.spearman(validated(spark, sf_dir), "reward", "quality").withColumn("rho", F.round("rho", 5))
+    return evaluate.spearman(stored(validated(spark, sf_dir).select("reward", "quality"), "validated"), "reward", "quality").withColumn("rho", F.round("rho", 5))
 
 
 @query(f"""with {_SQL_VALIDATION}, q as (select *, least(3, (row_number() over (order by reward, i) - 1) // greatest(1, count(*) over () // 4))::int quartile from judged)
@@ -157,6 +163,76 @@ def reward_quartiles(spark, sf_dir):
     return evaluate.quartiles(validated(spark, sf_dir), "reward", "i", F.round(F.avg("quality"), 5).alias("quality"), F.round(F.avg("missed"), 5).alias("missed"))
 
 
+_bits = lambda c: f"array_to_string(list_transform({c}, lambda x: case when x then '1' else '0' end), '')"
+
+
+@query(f"""with {SQL_JUDGED} select i, b < 5 failed, case when b >= 5 then array_to_string(grades, ',') end grades, case when b >= 5 then missed end missed, case when b >= 5 then {_bits("facet_ok")} end facet_ok,
+  case when b = 5 then '' when b > 5 then {_bits("flags_ok")} end flags_ok, case when b = 6 then 0 when b >= 5 then redundant end redundant from judged""")
+def judge_verdicts(spark, sf_dir):
+    d = judged(cards(spark, sf_dir)).select("i", parsed.facet_verdict(F.col("content")).alias("v"))
+    bits = lambda c: F.array_join(F.transform(c, lambda x: F.when(x, "1").otherwise("0")), "")
+    return d.select("i", "v.failed", F.array_join("v.grades", ",").alias("grades"), "v.missed", bits("v.facet_ok").alias("facet_ok"), bits("v.flags_ok").alias("flags_ok"), "v.redundant")
+
+
+@query(f"""with {SQL_JUDGED}, v as (select *, b < 4 failed, {_sql_mode()} "mode", case when i % 7 = 0 then 0 else len(content_flags) + 1 end n_tags from judged)
+select coalesce("mode", 'ALL') bucket, count_if(not failed)::bigint docs, count_if(failed)::bigint failures,
+  {", ".join(f"round(coalesce(sum(len(list_filter(grades, lambda g: g = '{k}'))) filter (not failed) / nullif(sum(len(grades)) filter (not failed), 0), 0)::double, 6) topic_{k}" for k in parsed.GRADES)},
+  round((count_if(not failed and not list_contains(grades, 'wrong') and missed = 0) / count_if(not failed))::double, 6) faithful, round((sum(missed) filter (not failed) / count_if(not failed))::double, 6) missed_avg,
+  round((sum(tags_apt) filter (not failed) / nullif(sum(n_tags) filter (not failed), 0))::double, 6) tags_apt_rate from v group by grouping sets (("mode"), ())""")
+def faith_verdicts(spark, sf_dir):
+    """From the judge's answers and the predictions' tags to the roll-up; a seventh of the documents has no prediction."""
+    c = cards(spark, sf_dir)
+    preds = c.where("i % 7 > 0").select("i", F.concat("content_flags", F.array("src")).alias("tags"))
+    v = assemble.tag_counts(judged(c).select("i", "mode", parsed.topic_verdict(F.col("content")).alias("v")).select("i", "mode", "v.*"), preds)
+    r = evaluate.topic_rollup(v)
+    return r.select("bucket", "docs", "failures", *[F.round(c, 6).alias(c) for c in r.columns if c not in ("bucket", "docs", "failures")])
+
+
+@query(f"""with {_SQL_GOLD}, m as (select *, case when {sql_hash("'mv-' || i", 6)} = 0 then 0 else least({sql_hash("'mt-' || i", 4)}, len(gold), len(pred)) end t from hits), s as (select sum(t)::bigint tp, sum(len(pred) - t)::bigint fp, sum(len(gold) - t)::bigint fn from m)
+select tp, fp, fn, round("precision", 6) "precision", round(recall, 6) recall, round(f1, 6) f1 from (select *, {_SQL_PRF} from s)""")
+def judged_tag_prf(spark, sf_dir):
+    """The tag side of a matching judge, from its answers; a failed answer counts as no match."""
+    d = gold_and_pred(cards(spark, sf_dir))
+    said = F.concat(F.lit('{"topic_matches": 1, "tag_matches": "'), hash_mod(key("mt-", F.col("i")), 4).cast("string"), F.lit('"}'))
+    verdict = parsed.match_verdict(F.when(hash_mod(key("mv-", F.col("i")), 6) == 0, "sorry").otherwise(said))
+    s = evaluate.judged_scores(d.withColumn("matched", verdict["tag_matches"]))
+    return s.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query(f"""with {_SQL_LABELS}, pairs as (select i, unnest(labels) l, generate_subscripts(labels, 1) k from gated where reason is null),
+last as (select i, json_extract_string(l, '$.topic') t, max_by(l, k) l from pairs group by all),
+named as (select facet, f from (select i, unnest([{", ".join(f"'{k}'" for k in FACETS)}]) facet, unnest(range({len(FACETS)})) f from last) where (i + f) % 3 > 0)
+select facet, count(*) n, 1.0::double accuracy from named group by facet""")
+def facet_presence(spark, sf_dir):
+    """Only facets that both sides name are counted: the prediction leaves out a third of them."""
+    d = with_labels(cards(spark, sf_dir)).select("i", gates.ontology_gate(F.col("content")).alias("g")).where("g.ok")
+    names = list(FACETS)
+    named = lambda keep: F.transform("g.value", lambda l: F.struct(l["topic"].alias("topic"), *[l[k].alias(k) for k in names], F.filter(F.array(*map(F.lit, names)), keep).alias("keys")))
+    third = named(lambda _, k: (F.col("i") + k) % 3 > 0)
+    return evaluate.facet_accuracy(d.select(named(lambda k: k.isNotNull()).alias("gold"), third.alias("pred")), names)
+
+
+@query(f"""with {_SQL_REWARD} select i, case when i % 5 = 0 or len(subject) = 0 then 0.0 else round(0.45 * grounding + 0.25 * nonredundant + 0.20 * coalesce(list_sum(list_transform(subject, lambda s: 0.16 + 0.35 + case when contains(s, 'e') then 0.25 else 0.0 end))::double / len(subject), 0.0)
+  + 0.10 * (case when "type" is null then 0.3 when "type" in ('email_thread', 'source_code') then 1.0 else 0.5 * list_sum(list_transform(string_split("type", '_'), lambda t: case when t in ('email', 'thread', 'source', 'code') then 1.0 else 0.0 end)) / len(string_split("type", '_')) end + 0.6)::double / 3.0, 6) end reward from parts join (select i, "type" from cards) using (i)""")
+def reward_of_completions(spark, sf_dir):
+    """The reward of chat-shaped completions, as a trainer asks for it; a fifth are no cards."""
+    d = cards(spark, sf_dir).withColumns({"audience": F.lit(None).cast("string"), "purpose": F.lit(None).cast("string"), "time": F.lit(None).cast("string")})
+    text = F.when(F.col("i") % 5 == 0, "no card").otherwise(assemble.card_answer(F.struct("subject", "type", "audience", "time", "purpose", "content_flags")))
+    d = d.withColumn("completion", F.array(F.struct(text.alias("content"))))
+    empty = F.array().cast("array<string>")
+    values = {"type": F.array(F.lit("email_thread"), F.lit("source_code")), "audience": empty, "purpose": empty}
+    known = F.filter(F.flatten(F.transform("subject", reward.toks)), lambda t: t.contains("e"))
+    r = reward.scored(F.col("completion"), F.left("text", F.lit(4000)), empty, known, values, chat=True)
+    return d.select("i", F.round(r, 6).alias("reward"))
+
+
+@query(f"with {_SQL_GOLD}, first as (select * from hits order by i limit 40) select count(*) n, sum(tp)::bigint tp from first")
+def head_of_positions(spark, sf_dir):
+    d = gold_and_pred(cards(spark, sf_dir))
+    both = assemble.positional(d.select("i", "gold"), d.select(F.col("i").alias("j"), "pred"), "i", order_right=("j",), head=40)
+    return evaluate.set_scores(both).select("n", "tp")
+
+
 @query(f"with {_SQL_GOLD} select count(*) n, sum((a.tp > 0)::int)::bigint hits from hits a")
 def positional_join(spark, sf_dir):
     d = gold_and_pred(cards(spark, sf_dir))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from foliant.functions.hashing import hash_mod, key
 from foliant.functions.gates import FACETS, TOPICS
+from foliant.functions.text import let
 
 REGISTERS = ["mail", "pdf", "ticket", "chat", "code", "log"]
 TYPES = ["email_thread", "report_document", "issue_ticket", "chat_log", "source_code", "system_log"]
@@ -44,12 +44,16 @@ def pick(k: Column, values: list, m: int | None = None) -> Column:
 def with_cards(df: DataFrame) -> DataFrame:
     """Adds subject, type, audience, time, purpose, content_flags, by rules."""
     low = F.lower(F.left("text", F.lit(4000)))
-    words = df.select("i", F.explode(F.regexp_extract_all(low, F.lit("[a-z]{6,}"), F.lit(0))).alias("w")).groupBy("i", "w").agg(F.count("*").alias("c"))
-    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("c"), "w"))
-    top = words.withColumn("r", rank).where("r <= 3").groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]).alias("subject"))
-    i, empty = F.col("i"), F.array().cast("array<string>")
-    return df.join(top, "i", "left").withColumns({
-        "subject": F.coalesce("subject", empty),
+    i = F.col("i")
+
+    def most_frequent(words: Column) -> Column:
+        """Of the sorted words, the three with the longest runs; a run is as long as the way to the next one's start."""
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda k: (k == 0) | (F.get(words, k) != F.get(words, k - 1)))
+        runs = lambda s: F.transform(s, lambda at, k: F.struct((at - F.coalesce(F.get(s, k + 1), F.size(words))).alias("o"), F.get(words, at).alias("w")))
+        return F.when(F.size(words) > 0, F.transform(F.slice(F.array_sort(let(starts, runs)), 1, 3), lambda x: x["w"])).otherwise(F.array().cast("array<string>"))
+
+    return df.withColumns({
+        "subject": let(F.array_sort(F.regexp_extract_all(low, F.lit("[a-z]{6,}"), F.lit(0))), most_frequent),
         "type": F.get(F.array(*map(F.lit, TYPES)), (F.array_position(F.array(*map(F.lit, REGISTERS)), F.col("src")) - 1).cast("int")),
         "audience": F.when(F.col("lang") == "en", "engineers").when(F.col("lang") == "fr", "customers").when(F.col("lang") == "de", "management_team"),
         "time": pick(key("time-", i), TIMES, 4),
@@ -130,12 +134,61 @@ def verdicts(cards: DataFrame) -> DataFrame:
 
 
 def candidates(cards: DataFrame) -> DataFrame:
-    """i, candidates, scores: four variants by default; in some rows all alike, a score short, or no score."""
+    """i, candidates, scores: four cards, of which the last two are malformed; in some rows all alike, a score short, or no score."""
     i = F.col("i")
-    c = F.array(F.array_join("subject", ","), F.array_join(F.slice("subject", 1, 1), ","), F.concat(F.array_join("subject", ","), F.lit(",more")), F.lit("none"))
+    lit = lambda *x: F.concat(*[v if isinstance(v, Column) else F.lit(v) for v in x])
+    one = lambda subject, type_: lit('{"subject": ', subject, ', "type": ', type_, ', "audience": null, "time": null, "purpose": "inform_readers", "content_flags": []}')
+    c = F.array(one(quoted(F.col("subject")), '"report_document"'), one(quoted(F.slice("subject", 1, 1)), "null"), one(quoted(F.col("subject")), '"mail_and_report"'), F.lit("none"))
     score = lambda k: hash_mod(key(f"score-{k}-", i), 11).cast("double")
     b = hash_mod(key("cand-", i), 10)
-    return cards.select("i", F.when(b == 0, F.array_repeat(F.lit("same"), 4)).otherwise(c).alias("candidates"), F.when(b == 1, F.array(score(0), score(1), score(2))).when(b == 2, F.lit(None)).otherwise(F.array(*[score(k) for k in range(4)])).alias("scores"))
+    return cards.select("i", F.when(b == 0, F.array_repeat(one('["same"]', "null"), 4)).otherwise(c).alias("candidates"), F.when(b == 1, F.array(score(0), score(1), score(2))).when(b == 2, F.lit(None)).otherwise(F.array(*[score(k) for k in range(4)])).alias("scores"))
+
+
+#: What a judge writes for a truth value, and whether it counts as true.
+TRUTHS = [("true", 1), ("false", 0), ('"false"', 1), ('""', 0), ("0", 0), ("2.5", 1), ("null", 0), ("[]", 0), ("[0]", 1), ("{}", 0)]
+GRADED = ["precise", "vague", "wrong", "great", "n/a"]
+MISSED = ["0", "1", "4", '"2"', "2.7", "true", "-1", '" 3 "']
+MISSED_AS = [0, 1, 3, 2, 2, 1, 0, 3]
+
+
+def judged(cards: DataFrame) -> DataFrame:
+    """i, mode, content: a judge's answer over a card; in buckets 0 to 4 there is none, no JSON, broken JSON, no count, or a wrong type."""
+    from foliant.functions.hashing import conditioning_mode
+
+    i = F.col("i")
+    b = hash_mod(key("jb-", i), 16)
+    listed = lambda values: F.concat(F.lit("["), F.array_join(values, ", "), F.lit("]"))
+    grades = F.transform("subject", lambda s, k: F.concat(F.lit('"'), pick(F.concat(F.lit("jg-"), i.cast("string"), F.lit("-"), k.cast("string")), GRADED), F.lit('"')))
+    oks = [F.concat(F.lit(f'"{k}": '), pick(key(f"jo-{k}-", i), [t for t, _ in TRUTHS])) for k in ("type", "audience", "purpose")]
+    flags = listed(F.transform("content_flags", lambda f: pick(F.concat(F.lit("jf-"), i.cast("string"), f), [t for t, _ in TRUTHS])))
+    fields = F.array_compact(F.array(
+        F.concat(F.lit('"subject_grades": '), listed(grades)), F.concat(F.lit('"topic_grades": '), listed(grades)), F.concat(F.lit('"tags_apt": '), pick(key("jt-", i), ["0", "1", "2", '"1"', "-3"])),
+        F.when(b != 3, F.concat(F.lit('"missed": '), pick(key("jm-", i), MISSED))),
+        F.when(b == 4, F.lit('"facet_ok": ["type"]')).otherwise(F.concat(F.lit('"facet_ok": {'), F.array_join(F.array(*oks), ", "), F.lit("}"))),
+        F.when(b != 5, F.concat(F.lit('"flags_ok": '), flags)), F.when(b != 6, F.concat(F.lit('"redundant_pairs": '), pick(key("jr-", i), ["-1", "0", "1", '"2"']))),
+    ))
+    text = F.concat(F.lit("My verdict: {"), F.array_join(fields, ", "), F.lit("} That is all."))
+    content = F.when(b == 0, F.lit(None)).when(b == 1, "I can't say.").when(b == 2, F.concat(F.left(text, F.lit(30)), F.lit("}"))).otherwise(text)
+    return cards.select("i", F.substring_index(conditioning_mode(i, DOMAINS), ":", 1).alias("mode"), content.alias("content"))
+
+
+RANKED = ["0", "3", "7.5", '"9"', "true", '" 6.5 "', "10", "2", "null", '"high"']
+RANKED_AS = [0.0, 3.0, 7.5, 9.0, 1.0, 6.5, 10.0, 2.0, None, None]
+
+
+def ranked(cards: DataFrame) -> DataFrame:
+    """custom_id and response of a ranking judge: four scores, some no numbers; in buckets 0 to 2 none, no list, or one short."""
+    i = F.col("i")
+    b = hash_mod(key("rb-", i), 12)
+    scores = [pick(F.concat(F.lit(f"rs-{k}-"), i.cast("string")), RANKED[:8] * 4 + RANKED[8:]) for k in range(4)]
+    text = lambda n: F.concat(F.lit('{"scores": ['), F.concat_ws(", ", *scores[:n]), F.lit("]}"))
+    content = F.when(b == 0, "none").when(b == 1, '{"scores": 5}').when(b == 2, text(3)).otherwise(text(4))
+    return cards.select(F.concat(F.lit("RK-"), i.cast("string")).alias("custom_id"), responded(content).alias("response"))
+
+
+def responded(content: Column) -> Column:
+    """A batch response that holds the content."""
+    return F.struct(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")).alias("body"))
 
 
 # ---- the same in SQL ----
@@ -180,3 +233,20 @@ plain as (select *, '{{"subject": ' || case bucket when 5 then '["aa", "bb", "cc
   || ', "content_flags": ' || case bucket when 7 then '["a1", "a2", "a3", "a4", "a5"]' else {sql_quoted("content_flags")} end || '}}' card from spoilt),
 answers as (select *, case when bucket <> 11 then '<think>' || repeat('{THOUGHT}', case bucket when 1 then 3 else 8 end) || '</think>' || chr(10)
   || case bucket when 2 then 'nothing to add' when 3 then left(card, length(card) - 1) || ', oops}}' when 8 then '```json' || chr(10) || card || chr(10) || '```' when 9 then card || chr(10) || 'That is all.' else card end end content from plain)"""
+
+
+
+def sql_one(subject: str, type_: str) -> str:
+    return f"""'{{"subject": ' || {subject} || ', "type": ' || {type_} || ', "audience": null, "time": null, "purpose": "inform_readers", "content_flags": []}}'"""
+
+
+def sql_truth(k: str) -> str:
+    return f"list_extract({[v for _, v in TRUTHS]}, ({sql_hash(k, len(TRUTHS))} + 1)::int) = 1"
+
+
+SQL_JUDGED = f"""{SQL_CARDS},
+judged as (select i, {sql_hash("'jb-' || i", 16)} b, content_flags,
+  list_filter(list_transform(range(len(subject)), lambda k: {sql_pick("'jg-' || i || '-' || k", GRADED)}), lambda g: g in ('precise', 'vague', 'wrong')) grades,
+  list_extract({MISSED_AS}, ({sql_hash("'jm-' || i", len(MISSED))} + 1)::int) missed, greatest(0, list_extract([0, 1, 2, 1, -3], ({sql_hash("'jt-' || i", 5)} + 1)::int)) tags_apt,
+  [{sql_truth("'jo-type-' || i")}, {sql_truth("'jo-audience-' || i")}, false, {sql_truth("'jo-purpose-' || i")}] facet_ok,
+  list_transform(content_flags, lambda f: {sql_truth("'jf-' || i || f")}) flags_ok, greatest(0, list_extract([-1, 0, 1, 2], ({sql_hash("'jr-' || i", 4)} + 1)::int)) redundant from cards)"""

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from foliant.functions import gates, text
 from foliant.functions.gates import FACETS, TOPICS
-from foliant.operators import stats
+from foliant.operators import assemble, stats
 from foliant.plans.declare import declarer
-from foliant.plans.fixtures import SQL_ANSWERS, SQL_CARDS, registered, sql_hash, sql_pick, with_answers, with_cards, with_labels, with_topics
+from foliant.plans.fixtures import SQL_ANSWERS, SQL_CARDS, registered, responded, sql_hash, sql_pick, with_answers, with_cards, with_labels, with_topics
 from foliant.streaming import gate as streaming
 
 QUERIES: dict = {}
@@ -53,6 +53,22 @@ def gate_facet_values(spark, sf_dir):
     return d.select("i", "g.value.type", "g.value.time", "g.value.audience", "g.value.purpose", F.array_join("g.value.content_flags", ",").alias("flags"))
 
 
+@query(f"with {_SQL_PARSED} select count_if(reason is null)::bigint survivors, count_if(reason is not null)::bigint rejects, round(count_if(reason is null) / count(*), 6)::double \"yield\" from gated")
+def gate_yield(spark, sf_dir):
+    d = answers(spark, sf_dir).select(gates.faceted_gate(F.col("content"))["ok"].alias("ok"))
+    return stats.yields(d).withColumn("yield", F.round("yield", 6))
+
+
+@query(f"with {_SQL_PARSED} select case when i % 50 = 3 then 'orphan' else src end src, count(*) n from gated join (select i, src from reg) using (i) where reason is null group by 1")
+def harvest_survivors(spark, sf_dir):
+    """Responses, gated and joined with their documents; a fiftieth of the documents is missing from the manifest."""
+    d = answers(spark, sf_dir)
+    responses = d.select(text.custom_id("EN", F.col("i")).alias("custom_id"), responded(F.col("content")).alias("response"))
+    kept = assemble.answers(responses).select("i", gates.faceted_gate(F.col("content")).alias("g")).where("g.ok")
+    joined, orphans = assemble.with_manifest(kept, registered(spark, sf_dir).where("i % 50 != 3").select("i", "src"))
+    return stats.counts(joined.select("src").unionAll(orphans.select(F.lit("orphan"))), "src")
+
+
 _SQL_CARD = f"""{SQL_ANSWERS},
 found as (select i, regexp_extract(regexp_replace(coalesce(content, ''), '(?s)<think>.*?</think>', '', 'g'), '(?s)\\{{\\s*"subject"\\s*:.*?\\}}') j from answers),
 valid as (select i, case when json_valid(j) then j end v from found),

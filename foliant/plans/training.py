@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.functions import gates, hashing, reward, text
+from foliant.functions import gates, hashing, reward, text, verdicts
 from foliant.operators import assemble, evaluate, pairs, sampling, stats
 from foliant.plans.declare import declarer
-from foliant.plans.fixtures import DOMAINS, POOL, SQL_CARDS, SQL_REG, candidates, registered, sql_hash, sql_list, sql_pick, with_cards
+from foliant.plans.fixtures import DOMAINS, POOL, RANKED_AS, SQL_CARDS, SQL_REG, candidates, ranked, registered, sql_hash, sql_list, sql_one, sql_pick, sql_quoted, with_cards
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -73,8 +73,17 @@ def match_prompts(spark, sf_dir):
 
 
 _SQL_CANDIDATES = f"""{SQL_CARDS},
-scored as (select i, text, case when {sql_hash("'cand-' || i", 10)} = 0 then ['same', 'same', 'same', 'same'] else [array_to_string(subject, ','), coalesce(subject[1], ''), array_to_string(subject, ',') || ',more', 'none'] end candidates,
+scored as (select i, text, case when {sql_hash("'cand-' || i", 10)} = 0 then list_transform(range(4), lambda k: {sql_one("'[\"same\"]'", "'null'")}) else [{sql_one(sql_quoted("subject"), "'\"report_document\"'")}, {sql_one(sql_quoted("subject[:1]"), "'null'")}, {sql_one(sql_quoted("subject"), "'\"mail_and_report\"'")}, 'none'] end candidates,
   case {sql_hash("'cand-' || i", 10)} when 2 then null when 1 then [{", ".join(sql_hash(f"'score-{k}-' || i", 11) for k in range(3))}] else [{", ".join(sql_hash(f"'score-{k}-' || i", 11) for k in range(4))}] end scores from cards)"""
+# a candidate is a card if it is JSON, has one to three subjects and no compound type
+_SQL_IS_CARD = "coalesce(json_valid({0}) and json_array_length({0}, '$.subject') between 1 and 3 and not contains(coalesce(json_extract_string({0}, '$.type'), ''), '_and_'), false)"
+
+
+def _sql_pairs(source: str) -> str:
+    return f"""bounds as (select *, list_max(scores) hi, list_min(scores) lo from {source}),
+ends as (select *, candidates[list_position(scores, hi)] best, candidates[list_position(scores, lo)] worst from bounds),
+pairs as (select i, case when scores is null or len(scores) <> len(candidates) then 'parse' when hi - lo < 2 then 'margin'
+  when not case when json_valid(best) then {_SQL_IS_CARD.format("best")} else false end or not case when json_valid(worst) then {_SQL_IS_CARD.format("worst")} else false end then 'malformed' end reason, best, worst, (hi - lo)::double gap from ends)"""
 
 
 @query(f"""with {_SQL_CANDIDATES} select i, sha256('Rank the cards from best to worst and score each from 0 to 10.' || chr(10) || array_to_string(list_transform(list_zip(candidates, range(4)), lambda x: '[' || x[2] || '] ' || x[1]), chr(10)) || chr(10) || 'Document:' || chr(10) || left(text, 3000)) prompt
@@ -86,9 +95,7 @@ def rank_prompts(spark, sf_dir):
 
 
 _SQL_PAIRS = f"""{_SQL_CANDIDATES},
-bounds as (select *, list_max(scores) hi, list_min(scores) lo from scored),
-pairs as (select i, case when scores is null or len(scores) <> len(candidates) then 'parse' when hi - lo < 2 then 'margin' when candidates[list_position(scores, hi)] = candidates[list_position(scores, lo)] then 'identical' end reason,
-  candidates[list_position(scores, hi)] best, candidates[list_position(scores, lo)] worst, (hi - lo)::double gap from bounds)"""
+{_sql_pairs("scored")}"""
 
 
 @query(f"with {_SQL_PAIRS} select i, best chosen, worst rejected, gap from pairs where reason is null")
@@ -106,6 +113,40 @@ def gap_summary(spark, sf_dir):
     return evaluate.upper_median(pairs.ranked_pairs(candidates(cards(spark, sf_dir))).where("reason is null"), "gap")
 
 
+_RANKED_AS = "[" + ", ".join("null" if x is None else str(x) for x in RANKED_AS[:8] * 4 + RANKED_AS[8:]) + "]"
+_SQL_RANKED = f"""{_SQL_CANDIDATES},
+said as (select i, candidates, {sql_hash("'rb-' || i", 12)} b, [{", ".join(f"list_extract({_RANKED_AS}::double[], ({sql_hash(f"'rs-{k}-' || i", 34)} + 1)::int)" for k in range(4))}] s from scored),
+read as (select i, b, case when b > 2 and len(list_filter(s, lambda x: x is null)) = 0 then s when b = 2 and len(list_filter(s[:3], lambda x: x is null)) = 0 then s[:3] end scores, case when i % 9 > 0 then candidates end candidates from said)"""
+
+
+@query(f"with {_SQL_RANKED} select i, array_to_string(list_transform(scores, lambda x: x::decimal(6, 2)::varchar), ',') scores from read")
+def rank_scores(spark, sf_dir):
+    d = assemble.answers(ranked(cards(spark, sf_dir))).select("i", verdicts.rank_scores(F.col("content")).alias("s"))
+    return d.select("i", F.array_join(F.transform("s", lambda x: x.cast("decimal(6,2)").cast("string")), ",").alias("scores"))
+
+
+@query(f"""with {_SQL_RANKED}, {_sql_pairs("read")} select i, gap, sha256(best) chosen, sha256(worst) rejected, sha256('Document:' || chr(10) || left(text, 4000)) "user" from pairs join (select i, text from cards) using (i) where reason is null""")
+def preference_messages(spark, sf_dir):
+    """From a judge's responses, the candidates and the manifest to messages; a ninth of the candidates is missing."""
+    c = cards(spark, sf_dir)
+    known = pairs.judged_candidates(ranked(c), candidates(c).where("i % 9 > 0"))
+    rows = pairs.preference_rows(pairs.ranked_pairs(known), c.select("i", F.left("text", F.lit(4000)).alias("text")), F.lit(assemble.SYSTEM["student"]))
+    said = lambda k, n: F.sha2(F.get(k, F.lit(n))["content"], 256)
+    return rows.select("i", "gap", said("chosen", 0).alias("chosen"), said("rejected", 0).alias("rejected"), said("prompt", 1).alias("user"))
+
+
+@query(f"""with {SQL_CARDS}, t as (select i, src, list_filter(list_distinct(case when {sql_hash("'tt-' || i", 4)} = 0 then [] else subject end || case when {sql_hash("'tg-' || i", 4)} = 0 then [] else [src, src, ''] end), lambda x: x <> '') tags from cards)
+select i, src, len(tags)::int n, case when i % 2 = 0 then sha256('{assemble.SYSTEM["tags"]}' || {_CLAUSE.format(_CANON)}) else sha256('{assemble.SYSTEM["tags"]}') end "system" from t where len(tags) > 0""")
+def tags_only_train(spark, sf_dir):
+    """Topics and tags merged, the old prompt's topics kept, rows without a tag dropped."""
+    d, i, empty = _anchor_for_half(cards(spark, sf_dir)), F.col("i"), F.array().cast("array<string>")
+    topics = F.when(hashing.hash_mod(hashing.key("tt-", i), 4) == 0, empty).otherwise(F.col("subject"))
+    tags = F.when(hashing.hash_mod(hashing.key("tg-", i), 4) == 0, empty).otherwise(F.array("src", "src", F.lit("")))
+    old = d.select("i", "src", topics.alias("topics"), tags.alias("tags"), assemble.prompt(assemble.SYSTEM["direct"], F.col("anchor")).alias("system"), text.user_turn(F.left("text", F.lit(4000))).alias("user"))
+    said = lambda n: F.get("messages", F.lit(n))["content"]
+    return assemble.tags_only(old, assemble.SYSTEM["tags"]).select("i", "src", F.size(F.from_json(said(2), "tags array<string>")["tags"]).alias("n"), F.sha2(said(0), 256).alias("system"))
+
+
 def _sql_grounding(c: str) -> str:
     """Mean share of grounded tokens; the fixture's terms are single tokens."""
     return f"""coalesce(list_sum(list_transform({c}, lambda s: case when length(s) >= 3 and (contains(low, s) or (length(s) >= 5 and contains(low, substr(s, 1, greatest(4, length(s) - 3))))) then 1.0 else 0.0 end))::double / nullif(len({c}), 0), 0.0)"""
@@ -159,10 +200,10 @@ def anchor_ood_gold(spark, sf_dir):
     return gold.join(holdout, "i").select("i", "split", "domain", F.array_join("subject", ",").alias("topics"))
 
 
-@query(f"""with {SQL_REG} select i, case when i % 4 = 0 then 'new' else 'old' end version from reg where i % 2 = 0 or i % 4 = 0""")
+@query(f"""with {SQL_REG} select i, case when i % 4 = 0 then 'new' else 'old' end version from reg""")
 def idempotent_append(spark, sf_dir):
     d = registered(spark, sf_dir).select("i")
-    old = d.where("i % 2 = 0").withColumn("version", F.lit("old"))
+    old = d.withColumn("version", F.lit("old"))
     new = d.where("i % 4 = 0").withColumn("version", F.lit("new"))
     return assemble.idempotent_append(assemble.idempotent_append(old, new, "i"), new, "i")
 

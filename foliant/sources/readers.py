@@ -95,9 +95,12 @@ def literal_to_json(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-def ticket_text(issue_json: Column, comments_json: Column) -> Column:
-    """Summary, description and the first six comments, blanks left out after the cut to six."""
-    issue, comments = F.try_parse_json(issue_json), F.try_parse_json(comments_json)
+def ticket_text(issue_json: Column, comments_json: Column, literals: bool = False) -> Column:
+    """Summary, description and the first six comments, blanks left out after the cut to six.
+
+    With `literals` the two may be Python literals too, which costs a pass through Python for all rows."""
+    value = lambda c: F.try_parse_json(F.coalesce(literal_to_json(c), c) if literals else c)
+    issue, comments = value(issue_json), value(comments_json)
     text = lambda v, path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
     blank = lambda c: F.coalesce(strip(c), F.lit("")) == ""
     summary = F.when(~blank(text(issue, "$.summary")), F.concat(F.lit("Issue: "), text(issue, "$.summary")))

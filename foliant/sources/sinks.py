@@ -35,8 +35,10 @@ def print_json_lines(df: DataFrame, out=None) -> int:
     return n
 
 
-def report(df: DataFrame, width: int = 10, limit: int = 1000) -> str:
-    """A bounded result as a table of fixed width."""
+def report(df: DataFrame, width: int = 10, most: int = 1000) -> str:
+    """A result of at most `most` rows as a table of fixed width; a longer one is an error, not cut."""
     show = lambda v: f"{v:.3f}" if isinstance(v, float) else str(v)
-    rows = [df.columns, *[[show(v) for v in r] for r in df.limit(limit).collect()]]
-    return "\n".join(" ".join(f"{v:>{width}}" for v in r) for r in rows)
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report holds at most {most} rows")
+    return "\n".join(" ".join(f"{v:>{width}}" for v in r) for r in [df.columns, *[[show(v) for v in r] for r in found]])

@@ -97,10 +97,60 @@ def test_faithful_is_vacuous_on_empty_lists(spark):
 
 
 def test_pairs(spark):
-    rows = [(1, ["a", "b", "c"], [5.0, 9.0, 9.0]), (2, ["a", "a"], [1.0, 9.0]), (3, ["a"], [1.0, 2.0]), (4, ["a", "b"], [5.0, 6.0]), (5, [], []), (6, ["a", "b"], None)]
+    card = lambda s: json.dumps({"subject": [s], "type": None, "audience": None, "time": None, "purpose": None, "content_flags": []})
+    a, b, c = map(card, "abc")
+    rows = [(1, [a, b, c], [5.0, 9.0, 9.0]), (2, [a, a], [1.0, 9.0]), (3, [a], [1.0, 2.0]), (4, [a, b], [5.0, 6.0]), (5, [], []), (6, [a, b], None), (7, [a, "not a card"], [1.0, 9.0]), (8, ["not a card", b], [1.0, 9.0])]
     got = {r.i: r for r in pairs.ranked_pairs(spark.createDataFrame(rows, "i long, candidates array<string>, scores array<double>")).collect()}
-    assert (got[1].chosen, got[1].rejected, got[1].gap) == ("b", "a", 4.0)
-    assert [got[k].reason for k in (2, 3, 4, 5, 6)] == ["identical", "parse", "margin", "parse", "parse"]
+    assert (got[1].chosen, got[1].rejected, got[1].gap) == (b, a, 4.0) and (got[2].chosen, got[2].reason) == (a, None)
+    assert [got[k].reason for k in (3, 4, 5, 6, 7, 8)] == ["parse", "margin", "parse", "parse", "malformed", "malformed"]
+
+
+def test_unknown_grades_don_t_count(spark):
+    rows = [("none", False, ["precise", "n/a", "great"], 0, [True] * 4, [], 0), ("none", True, None, None, None, None, None), ("unseen", True, None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "mode string, failed boolean, grades array<string>, missed int, facet_ok array<boolean>, flags_ok array<boolean>, redundant int")
+    got = {r.bucket: r for r in evaluate.facet_rollup(d).collect()}
+    assert (got["none"].subject_precise, got["none"].docs, got["none"].failures, got["none"].faithful) == (1.0, 1, 1, 1.0)
+    assert (got["unseen"].docs, got["unseen"].failures, got["unseen"].faithful) == (0, 1, 0.0) and (got["ALL"].docs, got["ALL"].failures) == (1, 2)
+
+
+@pytest.mark.parametrize(("value", "true", "number"), [("true", True, 1), ("false", False, 0), ('"false"', True, None), ('""', False, None), ("0", False, 0), ("2.7", True, 2), ("-2.7", True, -2), ("null", False, None), ("[]", False, None), ("[null]", True, None), ("{}", False, None), ('{"a": 0}', True, None), ('" 12 "', True, 12), ('"1.5"', True, None)])
+def test_truth_and_numbers_of_json(spark, value, true, number):
+    from foliant.functions import verdicts
+
+    v = F.parse_json(F.lit('{"x": ' + value + "}"))
+    r = spark.range(1).select(verdicts.truth(F.try_variant_get(v, "$.x", "variant")).alias("t"), verdicts.whole(v, "$.x").alias("n")).head()
+    assert (r.t, r.n) == (true, number)
+
+
+def test_verdicts_that_fail(spark):
+    from foliant.functions import verdicts
+
+    texts = [None, "", "{", '{"missed": 1}', '{"subject_grades": "precise", "missed": 1, "facet_ok": {}}', '{"subject_grades": [], "missed": null, "facet_ok": {}}', '{"subject_grades": [], "missed": 1, "facet_ok": {}, "flags_ok": null}', '{"subject_grades": [7, "vague"], "missed": 99, "facet_ok": {}, "missed": 2}']
+    got = [r.v for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, c string").orderBy("k").select(verdicts.facet_verdict(F.col("c")).alias("v")).collect()]
+    assert [v.failed for v in got] == [True] * 7 + [False] and (got[7].grades, got[7].missed, got[7].flags_ok) == (["vague"], 2, [])
+
+
+def test_orphans_and_long_ids(spark):
+    d = spark.createDataFrame([("EN-1000000000000", 1), ("EN-00007", 2), ("EN-x", 3)], "c string, k int")
+    from foliant.functions.text import parse_custom_id
+
+    i = d.select(parse_custom_id(F.col("c")).alias("i"))
+    assert [r.i for r in i.collect()] == [1000000000000, 7, None]
+    joined, orphans = assemble.with_manifest(i.where("i is not null"), spark.createDataFrame([(7, "t")], "i long, text string"))
+    assert [r.i for r in joined.collect()] == [7] and [r.i for r in orphans.collect()] == [1000000000000]
+
+
+def test_observed_counts(spark):
+    from pyspark.sql import Observation
+
+    o = Observation()
+    stats.observed(spark.createDataFrame([(True,), (False,), (True,)], "ok boolean"), o).write.format("noop").mode("overwrite").save()
+    assert o.get == {"survivors": 2, "rejects": 1}
+
+
+def test_long_reports_are_errors(spark):
+    with pytest.raises(ValueError):
+        sinks.report(spark.range(5), most=4)
 
 
 def test_token_counts_take_a_term_once(spark):
