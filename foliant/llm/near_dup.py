@@ -14,7 +14,8 @@ hashes: linked if the probability Jaccard similarity or the plain one of the set
 Scale: exact copies are collapsed first, with partial aggregation, so a group of copies costs one candidate. In a bucket
 each member is compared with the bucket's least text alone, which joins any number of near copies in linear time; classes are
 then formed, and only buckets that still hold several classes are compared further, with 16, 256, ... pivots in turn until
-every pair of different classes in them has been tested, in the first bucket that it shares. Pivots are chosen in SALTS parts
+every pair of different classes in them has been tested, in the first bucket that it shares. Pivots come in the order of the
+hash of a text's number, hence a group that meets in many buckets has the same pivots in all; they are chosen in SALTS parts
 of a bucket before the bucket as a whole, so that no task orders a large bucket. Text is read again only for candidates, and a
 text that many are compared with is joined last, where Spark splits it. All intermediate tables are written to the shared
 folder; nothing of the corpus reaches the driver but counts.
@@ -45,6 +46,8 @@ SHINGLE = 5
 PLACES = 384
 #: Bits of each place that are compared.
 BITS = 4
+#: Times as many pivots in each further round.
+GROWTH = 16
 #: Parts of a bucket that are ordered apart.
 SALTS = 16
 
@@ -236,10 +239,19 @@ def components(edges: DataFrame) -> DataFrame:
         now = new.select("node", "label")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links: only what the links join is gone through again, as edges between classes."""
+    of = lambda side: labels.toDF(side, f"class_{side}")
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")).where("a != b").distinct()
+    to = components(between).toDF("label", "to")
+    alone = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left_anti")
+    return stored(labels.unionByName(alone.withColumn("label", F.col("node"))).join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
 def pivots_of(rows: DataFrame, after: int, upto: int) -> DataFrame:
     """The rows of ranks after + 1 to upto of each bucket by (h, id): first in SALTS parts of the bucket, then in it."""
     first = lambda *by: F.row_number().over(Window.partitionBy("bucket", *by).orderBy("h", "id"))
-    part = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS).cast("long"))).withColumn("rank", first("salt")).where(F.col("rank") <= upto)
+    part = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).withColumn("rank", first("salt")).where(F.col("rank") <= upto)
     return part.drop("rank").withColumn("rank", first()).where(F.col("rank") <= upto).where(F.col("rank") > after)
 
 
@@ -254,16 +266,15 @@ def linked(one: DataFrame, docs: DataFrame, key: DataFrame, threshold: float, ba
     pairs = members.where("id != centre").select("centre", "id").distinct()
     pairs = pairs.join(bits.select("id", "bits"), "id").join(bits.select(F.col("id").alias("centre"), F.col("bits").alias("bits_b")), "centre")
     pairs = stored(pairs.where(alike(F.col("bits"), F.col("bits_b"), least)).select(F.col("centre").alias("a"), F.col("id").alias("b")), "pairs")
-    tested, edges = pairs, stored(verified(pairs, docs, key, threshold), "links")
-    labels, ranks = components(edges), 0
+    tested, labels, ranks = pairs, components(stored(verified(pairs, docs, key, threshold), "links")), 0
     while True:
         rows = members.join(labels.toDF("id", "label"), "id", "left").select("bucket", "band", "id", F.coalesce("label", "id").alias("label"))
         spread = rows.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).where(f"least < most and size > {ranks}")
         spread = stored(spread.select("bucket"), "spread")
         if spread.isEmpty():
             return labels
-        upto = ranks * pivots or pivots
-        open_ = stored(rows.join(spread, "bucket").join(bits, "id").withColumn("h", F.xxhash64("id", "bucket")), "open")
+        upto = ranks * GROWTH or pivots
+        open_ = stored(rows.join(spread, "bucket").join(bits, "id").withColumn("h", F.xxhash64("id")), "open")
         p = pivots_of(open_, ranks, upto).select("bucket", F.col("h").alias("h_b"), F.col("id").alias("pivot"), F.col("label").alias("other"), F.col("bits").alias("bits_b"), F.col("bands").alias("bands_b"))
         # each pair once: in the first bucket that it shares by signatures of one kind, from the pivot that comes first
         shares = lambda k, plain: part(F.col("bands"), k, plain) == part(F.col("bands_b"), k, plain)
@@ -276,8 +287,7 @@ def linked(one: DataFrame, docs: DataFrame, key: DataFrame, threshold: float, ba
             tested = tested.unionByName(more)
             found = stored(verified(more, docs, key, threshold), "links")
             if not found.isEmpty():
-                edges = edges.unionByName(found)
-                labels = components(edges)
+                labels = merged(labels, found)
 
 
 def classified(docs: DataFrame, threshold: float = 0.8, pivots: int = 16) -> DataFrame:
