@@ -181,7 +181,7 @@ def ranked(cards: DataFrame) -> DataFrame:
     i = F.col("i")
     b = hash_mod(key("rb-", i), 12)
     scores = [pick(F.concat(F.lit(f"rs-{k}-"), i.cast("string")), RANKED[:8] * 4 + RANKED[8:]) for k in range(4)]
-    text = lambda n: F.concat(F.lit('{"scores": ['), F.concat_ws(", ", *scores[:n]), F.lit("]}"))
+    text = lambda n: F.concat(F.lit('{"scores": ['), F.array_join(F.array(*scores[:n]), ", "), F.lit("]}"))
     content = F.when(b == 0, "none").when(b == 1, '{"scores": 5}').when(b == 2, text(3)).otherwise(text(4))
     return cards.select(F.concat(F.lit("RK-"), i.cast("string")).alias("custom_id"), responded(content).alias("response"))
 
