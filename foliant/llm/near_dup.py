@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import arrow_map, maybe_broadcast, stored, table
+from foliant.llm.common import arrow_map, digest, maybe_broadcast, stored, table
 from foliant.llm.hashing import U, Words, chain, exact_windows, mix
 
 SHINGLE = 5
@@ -105,11 +105,6 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_docs:
     return sign.reshape(n_docs, places)
 
 
-def digest(text: Column) -> Column:
-    """128 bits of SHA-256 of a text; null counts as empty."""
-    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
-
-
 def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc_id, fp (digest of the text), bands (null without words) and BITS bits of each place, by 64, of every row.
 

@@ -787,6 +787,26 @@ def test_scores_by_joins_equal_scores(spark):
         assert x.log_perplexity is None or abs(x.log_perplexity - got[x.doc_id].log_perplexity) < 1e-5
 
 
+def test_shards_equal_the_broadcast_model(spark):
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in r.zipf(1.4, int(r.integers(0, 90))) % 60) for _ in range(40)] + [None, "", "w1 w1 w1 Zz 12 ## w2", "w1"]
+    d = docs(spark, texts)
+    for known, shard_tokens in ((d.limit(25), 1 << 19), (d.limit(25), 40), (d.limit(0), 40)):  # with 40, frequent words are dealt into parts
+        got = {x.doc_id: x for x in quality_lm.score_by_shards(d, quality_lm.train_shards(known, shard_tokens=shard_tokens)).collect()}
+        assert len(got) == len(texts)
+        for x in quality_lm.score(d, quality_lm.train(known)).collect():
+            assert x.n_words == got[x.doc_id].n_words and (x.log_perplexity is None) == (got[x.doc_id].log_perplexity is None)
+            assert x.log_perplexity is None or abs(x.log_perplexity - got[x.doc_id].log_perplexity) < 1e-5
+
+
+def test_every_trusted_document_of_the_fold_is_counted(spark):
+    d = docs(spark, [f"a b c{k}" for k in range(5000)] + ["x " * 60_000])
+    texts, ids = quality_lm.training_texts(d, labels(spark, good=range(5001)))
+    fold = {x.doc_id for x in labels(spark, good=range(5001)).where("quality = 1 and xxhash64(doc_id, 'fold') % 2 = 0 and doc_id is not null").collect()}
+    assert len(fold) > 2300 and {x.doc_id for x in ids.collect()} == fold
+    assert {x.text for x in texts.collect()} == {x.text for x in d.collect() if x.doc_id in fold}
+
+
 def test_thresholds_equal_brute_force(spark):
     r = np.random.default_rng(6)
     rows = [(None if k % 11 == 0 else "en" if k % 3 else "fr", int(r.choice([5, 40, 200, 900], p=[0.05, 0.25, 0.4, 0.3])), float(r.normal(6, 1))) for k in range(400)]
