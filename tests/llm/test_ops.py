@@ -807,6 +807,13 @@ def test_every_trusted_document_of_the_fold_is_counted(spark):
     assert {x.text for x in texts.collect()} == {x.text for x in d.collect() if x.doc_id in fold}
 
 
+def test_filter_keeps_what_is_classified(spark, odd):
+    extra = odd.withColumn("more", F.lit(1))
+    kept = Counter((x.doc_id, x.lang, x.n_words) for x in quality_lm.classify(extra, labels(spark, good=(6, 7))).where("kept").collect())
+    got = Counter((x.doc_id, x.lang, len(re.findall(r"[^\x20\x09-\x0D]+", x.text or ""))) for x in quality_lm.filter_rows(extra, labels(spark, good=(6, 7))).collect())
+    assert got == kept and kept
+
+
 def test_thresholds_equal_brute_force(spark):
     r = np.random.default_rng(6)
     rows = [(None if k % 11 == 0 else "en" if k % 3 else "fr", int(r.choice([5, 40, 200, 900], p=[0.05, 0.25, 0.4, 0.3])), float(r.normal(6, 1))) for k in range(400)]
