@@ -13,8 +13,8 @@ ids as u32 (u32), CRC-32 of all that follows (u32); then for each checkpoint its
 then the words (u32). Id i is in lane i mod lanes at step i div lanes. Decoding may start at any checkpoint, so blocks, and
 the parts between checkpoints, decode in parallel; both checksums are verified.
 
-Writing: texts are dealt by range of doc_id and sorted, tokenized, and written once as raw blocks; ids are counted from
-those; then each raw block is encoded where it lies. A document is encoded by pieces: the vocabulary's pre-tokenizer always
+Writing: texts are dealt by range of doc_id and sorted, tokenized, and written once as raw blocks; with how often each
+id occurs in them; then each raw block is encoded where it lies. A document is encoded by pieces: the vocabulary's pre-tokenizer always
 parts a text before a space that anything but white space follows, so each distinct piece is sent to the tokenizers library
 when a worker first meets it, and kept in a bounded cache that knows it by all its bytes.
 
@@ -336,9 +336,9 @@ def encoder(path: str | None) -> Encoder:
 
 
 def raw_blocks(docs: DataFrame, path: str | None) -> DataFrame:
-    """Blocks of plain ids: shard, block, offset, n_tokens, width, doc_ids, lengths, ids; in order of doc_id."""
+    """Blocks of plain ids: shard, block, offset, n_tokens, width, doc_ids, lengths, ids, counts (u32 of each id); in order of doc_id."""
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ddl = "shard int, block int, offset bigint, n_tokens bigint, width int, doc_ids array<bigint>, lengths array<int>, ids binary"
+    ddl = "shard int, block int, offset bigint, n_tokens bigint, width int, doc_ids array<bigint>, lengths array<int>, ids binary, counts binary"
     target = arrow_schema(docs.sparkSession, ddl)
     small_batches(docs.sparkSession)
 
@@ -350,8 +350,10 @@ def raw_blocks(docs: DataFrame, path: str | None) -> DataFrame:
         def flush():
             sizes = [len(p) // width for p in parts]
             # low and high bytes apart, which compresses better
-            plain = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width).T.tobytes()
-            return pa.RecordBatch.from_pydict({"shard": [shard], "block": [block], "offset": [offset], "n_tokens": [held], "width": [width], "doc_ids": [ids], "lengths": [sizes], "ids": [plain]}, schema=target)
+            joined = b"".join(parts)
+            plain = np.frombuffer(joined, np.uint8).reshape(-1, width).T.tobytes()
+            counts = np.bincount(np.frombuffer(joined, encode.dtype)).astype("<u4").tobytes()
+            return pa.RecordBatch.from_pydict({"shard": [shard], "block": [block], "offset": [offset], "n_tokens": [held], "width": [width], "doc_ids": [ids], "lengths": [sizes], "ids": [plain], "counts": [counts]}, schema=target)
 
         for batch in slices(batches, "text"):
             for doc_id, coded in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
@@ -391,17 +393,17 @@ def write(docs: DataFrame, target: str, tokenizer_path: str | None = None) -> No
     def count():
         def f(batch):
             total = np.zeros(1, np.int64)
-            for data, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = np.bincount(plain_ids(data, width))
+            for data in batch.column(0).to_pylist():
+                c = np.frombuffer(data, "<u4").astype(np.int64)
                 if len(c) > len(total):
-                    c, total = total, c.astype(np.int64)
+                    c, total = total, c
                 total[: len(c)] += c
             symbols = np.flatnonzero(total)
             return {"symbol": symbols, "n": total[symbols]}
 
         return f
 
-    counts = arrow_map(raw.select("ids", "width"), count, "symbol bigint, n bigint", "ids").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
+    counts = arrow_map(raw.select("counts"), count, "symbol bigint, n bigint", "counts").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
     release(spark)
     symbols, n = counts.column("symbol").to_numpy(), counts.column("n").to_numpy()
     total = np.zeros(int(symbols.max()) + 1 if len(symbols) else 1, np.int64)
@@ -421,7 +423,7 @@ def write(docs: DataFrame, target: str, tokenizer_path: str | None = None) -> No
         return f
 
     ddl = "shard int, block int, offset bigint, n_tokens bigint, doc_ids array<bigint>, lengths array<int>, payload binary"
-    arrow_map(raw, encode, ddl, "ids").write.option("compression", "none").parquet(f"{target}/blocks")
+    arrow_map(raw.drop("counts"), encode, ddl, "ids").write.option("compression", "none").parquet(f"{target}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

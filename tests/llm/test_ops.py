@@ -512,6 +512,14 @@ def test_token_files_equal_the_tokenizer(spark, odd, tmp_path):
         start += len(ids)
 
 
+def test_raw_blocks_count_their_ids(spark, odd):
+    blocks = token_files.raw_blocks(odd, None).collect()
+    for r in blocks:
+        ids = token_files.plain_ids(r["ids"], r["width"])
+        assert np.array_equal(np.frombuffer(r["counts"], "<u4"), np.bincount(ids)) and len(ids) == r["n_tokens"]
+    assert blocks
+
+
 def test_pieces_equal_whole_texts():
     encoder = token_files.encoder(None)
     parts = ["a", "Bc", "é", "ñ,", "1", "'s", " ", "  ", "\n", "\t", "#", "<|endoftext|>", " ", "漢", "😀", "."]
