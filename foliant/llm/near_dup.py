@@ -50,6 +50,8 @@ BITS = 4
 GROWTH = 16
 #: Parts of a bucket that are ordered apart.
 SALTS = 16
+#: Bytes of text that a worker sketches at a time, and half as many of either side of the pairs that it verifies.
+HELD = 300_000
 
 
 def layout(threshold: float, loss: float = 3e-5, most: int = 20) -> tuple[int, int]:
@@ -133,7 +135,7 @@ def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         return f
 
     docs = docs.select("doc_id", digest(F.col("text")).alias("fp"), "text")
-    return arrow_map(docs, make, "doc_id bigint, fp binary, bands array<bigint>, bits array<bigint>")
+    return arrow_map(docs, make, "doc_id bigint, fp binary, bands array<bigint>, bits array<bigint>", limit=HELD)
 
 
 def similarity(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +219,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: DataFrame, threshold: float
 
         return f
 
-    return arrow_map(both.select("a", "b", "text_a", "text_b"), make, "a bigint, b bigint", "text_a").distinct()
+    return arrow_map(both.select("a", "b", "text_a", "text_b"), make, "a bigint, b bigint", "text_a", HELD // 2).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

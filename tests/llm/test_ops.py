@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from foliant.llm import decontaminate, importance, licenses, near_dup, packing, pii, quality_lm, secrets, token_files, url_reputation
+from foliant.llm import common, decontaminate, importance, licenses, near_dup, packing, pii, quality_lm, secrets, token_files, url_reputation
 
 EXTRA = "bands string, key string, h string, rank string, n string, bucket string, spans string, score string, rule string"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + EXTRA
@@ -264,6 +264,20 @@ def twins(n=11):
     return "x" * 8 + "".join("ab"[b] for b in bits) + "y" * 8, "x" * 8 + "".join("ba"[b] for b in bits) + "y" * 8
 
 
+def test_workers_hold_little_text_at_a_time(spark, monkeypatch):
+    held = []
+
+    def arrow_map(df, make, schema, column="text", limit=common.BATCH_BYTES):
+        held.append((column, limit))
+        return common.arrow_map(df, make, schema, column, limit)
+
+    monkeypatch.setattr(near_dup, "arrow_map", arrow_map)
+    words = [f"w{k}" for k in range(60)]
+    got = near_dup.classes(docs(spark, [" ".join(words), " ".join([*words, "more"]), "other text"])).collect()
+    assert len({r.class_id for r in got}) == 2
+    assert dict(held)["text"] <= 300_000 and dict(held)["text_a"] <= 150_000
+
+
 def test_words_that_collide_are_not_alike(spark):
     a, b = twins()
     assert [r.class_id for r in near_dup.classes(docs(spark, [a, b, a])).orderBy("doc_id").collect()] == [0, 1, 0]
