@@ -8,7 +8,7 @@ and broadcast.
 `score_by_shards` deals trigrams by their middle word, the trained ones and those to be scored alike: in its shard a trigram meets
 all that its probability needs but the unigrams. Trigrams around a word that is more frequent than a shard is large are dealt
 into parts by the word before as well; the word's bigrams, few beside them, go to all of its parts. Each batch of documents
-sends a shard its distinct trigrams once, sorted and compressed, with the documents that hold them, and gets back a sum for
+sends a shard its distinct trigrams once, sorted and packed, with the documents that hold them, and gets back a sum for
 each document, in fixed point of 18 binary places, so that sums don't depend on their order. `score` gives the same by a
 broadcast `Model` and `score_by_joins` by joins, for models that are small.
 
@@ -26,15 +26,17 @@ rows each give a row; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import uuid
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import MAX_BROADCAST_ROWS, arrow_map, arrow_schema, digest, maybe_broadcast, stored, table
+from foliant.llm.common import MAX_BROADCAST_ROWS, arrow_map, arrow_schema, digest, maybe_broadcast, slices, stored, table
 from foliant.llm.hashing import SPACE, U, Words, chain, mix
 
 ORDER = 3
@@ -51,6 +53,8 @@ ONE = 1 << 18
 SHARD_TOKENS, MIN_SHARDS = 1 << 19, 64
 #: Bytes of text whose n-grams are dealt at a time, and rows of bigrams.
 REQUEST_BYTES, PAIR_ROWS = 4_000_000, 100_000
+#: First bits of a word's hash by which words are counted together, and so many numbered words of which contexts are.
+WORD_RANGES, NUMBERS = 8, 1 << 14
 
 _SYMBOL = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
 _DIGIT = np.array([48 <= c < 58 for c in range(256)])
@@ -169,18 +173,35 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t.column("key").to_numpy().astype(np.int64), t.column("value").to_numpy().astype(np.float32)
 
 
+def runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal keys."""
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return list(zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=False))
+
+
 def word_counts(texts: DataFrame, text_col: str = "text") -> pa.Table:
-    """w (hash), c of the words that occur twice or more, and with null as w the number of all words."""
+    """w (hash), c of the words that occur twice or more, and rows with null as w, whose c together are the number of all words."""
 
     def count_words():
         def f(batch):
-            h, c = np.unique(signed(Words(batch.column(0)).hash), return_counts=True)
-            return {"w": pa.array(np.append(h, 0), mask=np.arange(len(h) + 1) == len(h)), "c": np.append(c, c.sum())}
+            pieces = [Words(x.column(0)).hash for x in slices(iter([batch]), text_col)]
+            h, c = np.unique(np.concatenate(pieces), return_counts=True)
+            of = h >> U(64 - WORD_RANGES)
+            ends = runs(of)
+            return {"range": [int(of[a]) for a, _ in ends], "data": [packed_rows(h[a:b] & U((1 << 64 - WORD_RANGES) - 1), c[a:b]) for a, b in ends]}
 
         return f
 
-    counts = arrow_map(texts.select(text_col), count_words, "w bigint, c bigint", text_col).groupBy("w").agg(F.sum("c").alias("c"))
-    return counts.where("c > 1 or w is null").toArrow()
+    def summed(t: pa.Table) -> pa.Table:
+        h, c = joined(t.column("data").to_pylist(), np.int64, np.int64)
+        h, place = np.unique(h, return_inverse=True)
+        c = np.bincount(place, c).astype(np.int64)
+        h = signed(h.astype(U) | U(t.column("range")[0].as_py() << 64 - WORD_RANGES))
+        w = pa.array(np.append(h[c > 1], 0), mask=np.arange((c > 1).sum() + 1) == (c > 1).sum())
+        return pa.table({"w": w, "c": np.append(c[c > 1], c.sum())})
+
+    parts = arrow_map(texts.select(text_col), count_words, "range int, data binary", text_col, REQUEST_BYTES)
+    return parts.groupBy("range").applyInArrow(summed, "w bigint, c bigint").toArrow()
 
 
 def vocabulary_of(texts: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -254,26 +275,61 @@ def training_texts(docs: DataFrame, labels: DataFrame, max_train: int | None = N
 
 
 def packed(*columns: np.ndarray) -> bytes:
-    """Columns of one length, compressed byte place by byte place; sorted and small numbers take little."""
-    data = b"".join(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in columns)
-    return len(columns[0]).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
+    """Columns of one length and of numbers from 0 on: the numbers' lengths in bits, compressed, and their bits below the first, place by place."""
+    out = [len(columns[0]).to_bytes(8, "little")]
+    for x in (x.astype(np.int64) for x in columns):
+        bits = np.frexp(x.astype(np.float64))[1].astype(np.uint8)
+        bits -= (bits > 0) & (x >> np.maximum(bits, 1).astype(np.int64) - 1 == 0)  # where the float was rounded up
+        coder = zlib.compressobj(9, zlib.DEFLATED, -15, 9, zlib.Z_RLE)
+        lengths = coder.compress(bits.tobytes()) + coder.flush()
+        out += [len(lengths).to_bytes(8, "little"), lengths]
+        out += [np.packbits((x[bits > k + 1] >> k & 1).astype(np.uint8)).tobytes() for k in range(int(bits.max(initial=0)) - 1)]
+    return b"".join(out)
 
 
 def unpacked(data: bytes, *types: type) -> list[np.ndarray]:
-    n, sizes = int.from_bytes(data[:8], "little"), [np.dtype(t).itemsize for t in types]
-    flat = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * sum(sizes), codec="zstd", asbytes=True), np.uint8)
-    at = n * np.cumsum([0, *sizes])
-    return [np.ascontiguousarray(flat[i : i + n * k].reshape(k, n).T).reshape(-1).view(t) for i, k, t in zip(at, sizes, types, strict=False)]
+    n, at, out = int.from_bytes(data[:8], "little"), 8, []
+    for t in types:
+        end = at + 8 + int.from_bytes(data[at : at + 8], "little")
+        bits, at = np.frombuffer(zlib.decompress(data[at + 8 : end], -15), np.uint8), end
+        x = np.where(bits > 0, np.int64(1) << np.maximum(bits, 1).astype(np.int64) - 1, 0)
+        for k in range(int(bits.max(initial=0)) - 1):
+            on = np.flatnonzero(bits > k + 1)
+            end = at + -(-len(on) // 8)
+            x[on] |= np.unpackbits(np.frombuffer(data[at:end], np.uint8), count=len(on)).astype(np.int64) << k
+            at = end
+        out.append(x.astype(t))
+        assert len(x) == n
+    return out
+
+
+def packed_rows(*columns: np.ndarray) -> bytes:
+    """Rows in order of all columns but the last, which is a count from 1 on. A number is given by its distance from that in the row before, where the columns before it are the same."""
+    same, out = np.arange(len(columns[0])) > 0, []
+    for x in (x.astype(np.int64) for x in columns[:-1]):
+        out.append(np.where(same, np.diff(x, prepend=0), x))
+        same = same & (out[-1] == 0)
+    return packed(*out, columns[-1].astype(np.int64) - 1)
+
+
+def unpacked_rows(data: bytes, *types: type) -> list[np.ndarray]:
+    *columns, count = unpacked(data, *[np.int64] * len(types))
+    new, out = np.arange(len(count)) == 0, []
+    for x in columns:
+        total, at = np.cumsum(x), np.flatnonzero(new)
+        out.append(total - np.repeat(total[at] - x[at], np.diff(np.append(at, len(x)))))
+        new = new | (x != 0)
+    return [x.astype(t) for x, t in zip((*out, count + 1), types, strict=True)]
 
 
 def joined(blobs: list[bytes], *types: type) -> list[np.ndarray]:
-    parts = [unpacked(x, *types) for x in blobs]
+    parts = [unpacked_rows(x, *types) for x in blobs]
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in types]
 
 
 I32, COUNT, DOC = np.int32, np.uint32, np.uint16
 #: Columns of trigrams (the middle word first, by which they are sharded), of a batch's and of bigrams.
-TRIGRAM, ASKED, BIGRAM = (I32, I32, I32, COUNT), (I32, I32, I32, COUNT, DOC), (I32, I32, COUNT)
+TRIGRAM, ASKED, BIGRAM = (I32, I32, I32, COUNT), (I32, DOC, I32, I32, COUNT), (I32, I32, COUNT)
 
 
 @dataclass
@@ -286,6 +342,13 @@ class Vocabulary:
     parts: np.ndarray
     bits: int
 
+    def __getstate__(self) -> tuple:
+        return packed_rows(self.words >> U(32), self.words & U(0xFFFFFFFF), self.number), packed(self.parts), self.bits
+
+    def __setstate__(self, state: tuple) -> None:
+        high, low, self.number = unpacked_rows(state[0], U, U, np.int64)
+        self.words, (self.parts,), self.bits = high << U(32) | low, unpacked(state[1], np.int32), state[2]
+
     def numbers(self, w: Words) -> np.ndarray:
         kind = classes(w)
         if not len(self.words):
@@ -299,19 +362,28 @@ class Vocabulary:
         v, u = contexts(h, w, len(CLASSES))
         return v, u, h
 
+    def trigrams_of(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """Number of words of each text; then trigrams and the text of each, numbered from little text at a time."""
+        parts, start = [], 0
+        for piece in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text"):
+            w = Words(piece.column(0))
+            parts.append((np.diff(w.first), *self.trigrams(w), w.doc() + start))
+            start += piece.num_rows
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
     def shards(self, v: np.ndarray, part: np.ndarray) -> np.ndarray:
         return (mix((v << 20 | part).astype(U)) >> U(64 - self.bits)).astype(np.int64)
 
     def dealt(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, doc: np.ndarray) -> list[tuple[int, tuple[np.ndarray, ...]]]:
-        """Each shard that has some, and its distinct rows with their counts."""
+        """Each shard that has some, and its distinct rows by (v, doc, u, w) with their counts."""
         if not len(v):
             return []
         parts = self.parts[v]
         shard = self.shards(v, np.where(parts > 1, (mix(u.astype(U)) % parts.astype(U)).astype(np.int64), 0))
-        order = np.lexsort((u << 32 | w, shard << 32 | v))  # stable, so by text within
+        order = np.lexsort((u << 32 | w, doc, shard << 32 | v))
         shard, v, u, w, doc = (x[order] for x in (shard, v, u, w, doc))
         at = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in (v, u, w, doc)], axis=0)))
-        columns = [x[at].astype(t) for x, t in ((v, I32), (u, I32), (w, I32))] + [np.diff(np.append(at, len(v))).astype(COUNT), doc[at].astype(DOC)]
+        columns = [x[at].astype(t) for x, t in zip((v, doc, u, w), ASKED, strict=False)] + [np.diff(np.append(at, len(v))).astype(COUNT)]
         shard = shard[at]
         starts = np.flatnonzero(np.diff(shard, prepend=-1))
         return [(int(shard[a]), tuple(x[a:b] for x in columns)) for a, b in zip(starts, np.append(starts[1:], len(shard)), strict=True)]
@@ -348,11 +420,11 @@ def numbered_words(texts: DataFrame, text_col: str = "text", shard_tokens: int =
 class Shards:
     """A model whose n-grams stay sharded by their middle words."""
 
-    vocabulary: Vocabulary
-    #: Discounts of trigrams and bigrams, and probability of each symbol on its own.
+    vocabulary: Broadcast[Vocabulary]
+    #: Discounts of trigrams and bigrams, and probability of each symbol on its own: the distinct ones, and which of them it is.
     tri: tuple[float, float, float]
     bi: tuple[float, float, float]
-    alone: np.ndarray
+    alone: Broadcast[tuple[np.ndarray, bytes]]
     #: shard, trigrams, bigrams (of middle symbols that are dealt into parts), both packed.
     counts: DataFrame
 
@@ -367,13 +439,18 @@ def train_shards(texts: DataFrame, text_col: str = "text", shard_tokens: int = S
         voc = shared.value
 
         def f(batch):
-            v, u, w = voc.trigrams(Words(batch.column(0)))
+            _, v, u, w, _ = voc.trigrams_of(batch.column(0))
             use = w != REPEAT  # a repeated word is never made likely, however often it is seen
             out = voc.dealt(v[use], u[use], w[use], np.zeros(use.sum(), np.int64))
-            return {"shard": [k for k, _ in out], "trigrams": [packed(*columns[:4]) for _, columns in out]}
+            return {"shard": [k for k, _ in out], "trigrams": [packed_rows(v, u, w, c) for _, (v, _, u, w, c) in out]}
 
         return f
 
+    def total_of(t: pa.Table) -> pa.Table:
+        w, n = joined(t.column("alone").to_pylist(), I32, np.int64)
+        w, place = np.unique(w, return_inverse=True)
+        return pa.table({"w": w, "n": np.bincount(place, n).astype(np.int64)})
+
     def count(t: pa.Table) -> pa.Table:
         parts = shared.value.parts
         v, u, w, c = joined(t.column("trigrams").to_pylist(), *TRIGRAM)
@@ -384,30 +461,34 @@ def train_shards(texts: DataFrame, text_col: str = "text", shard_tokens: int = S
         b, x, n = bigrams(v, w, np.ones(len(v)))
         split = parts[b] > 1  # their bigrams are in other shards too
         alone, of = np.unique(x[~split], return_counts=True)
-        row = {"shard": t.column("shard")[0].as_py(), "trigrams": packed(v, u, w, c.astype(COUNT)), "split": packed(b[split].astype(I32), x[split].astype(I32), n[split].astype(COUNT))}
-        row |= {"tri": counts_of_counts(c), "bi": counts_of_counts(n[~split]), "w": alone.tolist(), "n": of.tolist()}
+        ends = runs(alone // NUMBERS)
+        row = {"shard": t.column("shard")[0].as_py(), "trigrams": packed_rows(v, u, w, c), "split": packed_rows(b[split], x[split], n[split])}
+        row |= {"tri": counts_of_counts(c), "bi": counts_of_counts(n[~split]), "range": [int(alone[a]) // NUMBERS for a, _ in ends], "alone": [packed_rows(alone[a:b], of[a:b]) for a, b in ends]}
         return pa.Table.from_pylist([row], schema=counted)
 
-    schema = "shard int, trigrams binary, split binary, tri array<bigint>, bi array<bigint>, w array<int>, n array<bigint>"
+    schema = "shard int, trigrams binary, split binary, tri array<bigint>, bi array<bigint>, range array<int>, alone array<binary>"
     counted = arrow_schema(spark, schema)
     dealt = arrow_map(texts.select(text_col), deal, "shard int, trigrams binary", text_col, REQUEST_BYTES)
     counts = stored(dealt.groupBy("shard").applyInArrow(count, schema), "counts")
-    unigrams = counts.select(F.arrays_zip("w", "n").alias("x")).select(F.explode("x").alias("x")).select("x.w", "x.n")
+    unigrams = counts.select(F.explode(F.arrays_zip("range", "alone")).alias("x")).select("x.range", "x.alone")
+    unigrams = [unigrams.groupBy("range").applyInArrow(total_of, "w int, n bigint")]
     of_tri, of_bi = ([counts.agg(*(F.coalesce(F.sum(F.get(level, F.lit(k))), F.lit(0)) for k in range(4))).head()[k] for k in range(4)] for level in ("tri", "bi"))
     model = counts.select("shard", "trigrams", F.lit(b"").alias("bigrams"))
     if (vocabulary.parts > 1).any():
         pairs = stored(_split_bigrams(counts), "split-bigrams")
         of = {int(r[0]): int(r[1]) for r in pairs.where("n <= 4").groupBy("n").count().collect()}
         of_bi = [x + of.get(k, 0) for k, x in enumerate(of_bi, 1)]
-        unigrams = unigrams.unionByName(pairs.groupBy("w").agg(F.count("*").alias("n")))
+        unigrams.append(pairs.groupBy("w").agg(F.count("*").alias("n")))
         model = model.unionByName(_replicated(pairs, shared))
-    t = unigrams.groupBy("w").agg(F.sum("n").alias("n")).toArrow()
     # the lowest order interpolates with the uniform distribution over vocabulary and classes
-    seen, size = t.column("n").to_numpy().astype(np.float64), len(vocabulary.words) + len(CLASSES)
+    size = len(vocabulary.words) + len(CLASSES)
+    seen = np.zeros(size + 1)
+    for t in (x.toArrow() for x in unigrams):
+        seen[t.column("w").to_numpy()] += t.column("n").to_numpy()
     total = seen.sum()
-    alone = np.full(size + 1, (np.minimum(seen, 0.75).sum() / total if total else 1.0) / size)
-    alone[t.column("w").to_numpy()] += (seen - np.minimum(seen, 0.75)) / (total or 1.0)
-    return Shards(vocabulary, discounts(of_tri), discounts(of_bi), alone, model)
+    alone = (np.minimum(seen, 0.75).sum() / total if total else 1.0) / size + (seen - np.minimum(seen, 0.75)) / (total or 1.0)
+    values, place = np.unique(alone, return_inverse=True)
+    return Shards(shared, discounts(of_tri), discounts(of_bi), spark.sparkContext.broadcast((values, packed(place))), model)
 
 
 def _split_bigrams(counts: DataFrame) -> DataFrame:
@@ -431,12 +512,14 @@ def _replicated(pairs: DataFrame, shared) -> DataFrame:
 
         def cut():
             v, w, n = (pa.concat_arrays(x).to_numpy().astype(t) for x, t in zip(zip(*waiting, strict=True), (np.int64, I32, COUNT), strict=True))
+            order = np.lexsort((w, v))
+            v, w, n = v[order], w[order], n[order]
             times = voc.parts[v].astype(np.int64)
             row = np.repeat(np.arange(len(v)), times)
             shard = voc.shards(v[row], np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times))
             shard, row = np.unique(np.stack([shard, row]), axis=1)  # two parts may be in one shard
             at = np.flatnonzero(np.diff(shard, prepend=-1))
-            blobs = [packed(v[row[a:b]].astype(I32), w[row[a:b]], n[row[a:b]]) for a, b in zip(at, np.append(at[1:], len(shard)), strict=True)]
+            blobs = [packed_rows(v[row[a:b]], w[row[a:b]], n[row[a:b]]) for a, b in zip(at, np.append(at[1:], len(shard)), strict=True)]
             return pa.RecordBatch.from_pydict({"shard": shard[at], "trigrams": [b""] * len(at), "bigrams": blobs}, schema=target)
 
         for batch in batches:
@@ -456,22 +539,21 @@ def _replicated(pairs: DataFrame, shared) -> DataFrame:
 class Shard:
     """The n-grams around some middle symbols."""
 
-    def __init__(self, trigrams: list[bytes], more: list[bytes], model: Shards):
+    def __init__(self, trigrams: list[bytes], more: list[bytes], parts: np.ndarray, tri: tuple, bi: tuple):
         v, u, w, c = joined(trigrams, *TRIGRAM)  # of one shard, sorted
         b, x, n = bigrams(v, w, np.ones(len(v)))
-        split = model.vocabulary.parts[b] > 1
-        parts = joined(more, *BIGRAM)
-        b, x, n = (np.concatenate([y[~split], z]).astype(np.int64) for y, z in zip((b, x, n), parts, strict=True))
+        split = parts[b] > 1
+        b, x, n = (np.concatenate([y[~split], z]).astype(np.int64) for y, z in zip((b, x, n), joined(more, *BIGRAM), strict=True))
         order = np.lexsort((x, b))
         b, x, n = b[order], x[order], n[order]
         cut = lambda k, d: np.asarray(d)[np.minimum(k, 3) - 1] if len(k) else np.zeros(0)
         self.v, of = np.unique(b, return_inverse=True)
-        total, free = np.bincount(of, n, len(self.v)), cut(n, model.bi)
+        total, free = np.bincount(of, n, len(self.v)), cut(n, bi)
         self.two, self.own2 = of << 32 | x, (n - free) / total[of]
         self.share1 = np.bincount(of, free, len(self.v)) / total
         self.context, of = np.unique(np.searchsorted(self.v, v) << 32 | u, return_inverse=True)
         c = c.astype(np.int64)
-        total, free = np.bincount(of, c, len(self.context)), cut(c, model.tri)
+        total, free = np.bincount(of, c, len(self.context)), cut(c, tri)
         self.three, self.own3 = of << 32 | w, (c - free) / total[of]
         self.share2 = np.bincount(of, free, len(self.context)) / total
 
@@ -487,7 +569,7 @@ class Shard:
             p *= np.where(known, self.share2[i], 1.0) if len(self.context) else 1.0
             k, seen = found(self.three, i << 32 | w)
             p += np.where(known & seen, self.own3[k], 0.0) if len(self.three) else 0.0
-        return np.log(np.maximum(p, 1e-12))
+        return np.log(np.clip(p, 1e-12, 1.0))
 
 
 def found(keys: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -498,21 +580,21 @@ def found(keys: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def score_by_shards(docs: DataFrame, model: Shards, carried: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """The carried columns, n_words and log_perplexity (null without words) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(Shards(model.vocabulary, model.tri, model.bi, model.alone, None))
+    shared, alone, discounted = model.vocabulary, model.alone, (model.tri, model.bi)
 
     def ask():
-        voc = shared.value.vocabulary
+        voc = shared.value
 
         def f(batch):
-            w = Words(batch.column(1))
-            first, out = batch.column(0)[0].as_py(), voc.dealt(*voc.trigrams(w), w.doc())
+            words, *trigrams = voc.trigrams_of(batch.column(1))
+            first, out = batch.column(0)[0].as_py(), voc.dealt(*trigrams)
             # the documents themselves travel as one more row, by any shard
             rows = [dict(zip(carried, x, strict=True)) for x in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
             n = len(out)
             return {
                 "batch": [first] * (n + 1),
                 "shard": [first % 1_000_003 % (1 << voc.bits), *(k for k, _ in out)],
-                "data": [packed(np.diff(w.first).astype(np.int64)), *(packed(*columns) for _, columns in out)],
+                "data": [packed(words), *(packed_rows(*columns) for _, columns in out)],
                 "rows": [rows] + [None] * n,
             }
 
@@ -521,19 +603,19 @@ def score_by_shards(docs: DataFrame, model: Shards, carried: tuple[str, ...] = (
     def answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return answered.empty_table()
-        m = shared.value
-        shard = Shard(*([x for x in counts.column(k).to_pylist() if x] for k in ("trigrams", "bigrams")), m)
-        data = []
+        shard = Shard(*([x for x in counts.column(k).to_pylist() if x] for k in ("trigrams", "bigrams")), shared.value.parts, *discounted)
+        values, place = alone.value
+        own, data = values[unpacked(place, I32)[0]], []
         for x, rows in zip(asked.column("data"), asked.column("rows"), strict=True):
             if rows.is_valid:
                 data.append(x.as_py())
                 continue
-            v, u, w, c, doc = unpacked(x.as_py(), *ASKED)
-            logs = np.rint(shard.log_probabilities(v, u, w, m.alone) * ONE).astype(np.int64) * c
+            v, doc, u, w, c = unpacked_rows(x.as_py(), *ASKED)
+            logs = np.rint(shard.log_probabilities(v, u, w, own) * -ONE).astype(np.int64) * c
             which, place = np.unique(doc, return_inverse=True)
             total = np.zeros(len(which), np.int64)
             np.add.at(total, place, logs)
-            data.append(packed(which, total))
+            data.append(packed_rows(which, total + 1))
         return pa.Table.from_arrays([asked.column("batch"), pa.array(data, pa.binary()), asked.column("rows")], schema=answered)
 
     def total(parts: pa.Table) -> pa.Table:
@@ -543,9 +625,9 @@ def score_by_shards(docs: DataFrame, model: Shards, carried: tuple[str, ...] = (
         sums = np.zeros(len(n), np.int64)
         for x, own in zip(parts.column("data"), parts.column("rows"), strict=True):
             if not own.is_valid:
-                which, logs = unpacked(x.as_py(), DOC, np.int64)
-                sums[which] += logs
-        logs = pa.array(-sums / ONE / np.maximum(n, 1), mask=n == 0)
+                which, logs = unpacked_rows(x.as_py(), DOC, np.int64)
+                sums[which] += logs - 1
+        logs = pa.array(sums / ONE / np.maximum(n, 1), mask=n == 0)
         return pa.Table.from_pydict({c: [x[c] for x in rows] for c in carried} | {"n_words": n, "log_perplexity": logs}, schema=scored)
 
     types = {c: docs.schema[c].dataType.simpleString() for c in carried}

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from array import array
@@ -821,6 +822,35 @@ def test_shards_equal_the_broadcast_model(spark):
             assert x.log_perplexity is None or abs(x.log_perplexity - got[x.doc_id].log_perplexity) < 1e-5
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(*[st.integers(0, 3) | st.integers(0, 2**31 - 1)] * 3, st.integers(1, 9) | st.integers(1, 2**63 - 1)), max_size=40))
+def test_packed_rows_round_trip(rows):
+    columns = [np.array(x, np.int64) for x in zip(*sorted(rows), strict=True)] or [np.zeros(0, np.int64)] * 4
+    for got in (quality_lm.unpacked(quality_lm.packed(*columns), *[np.int64] * 4), quality_lm.unpacked_rows(quality_lm.packed_rows(*columns), *[np.int64] * 4)):
+        assert [x.tolist() for x in got] == [x.tolist() for x in columns]
+
+
+def test_what_travels_is_small(spark):
+    r = np.random.default_rng(7)
+    words = np.unique(r.integers(0, 2**63, 50_000).astype(np.uint64) << np.uint64(1))
+    voc = quality_lm.Vocabulary(words, r.permutation(len(words)) + 7, np.ones(len(words) + 7, np.int32), 6)
+    same = pickle.loads(pickle.dumps(voc))
+    assert all((x == y).all() for x, y in ((voc.words, same.words), (voc.number, same.number), (voc.parts, same.parts))) and voc.bits == same.bits
+    assert len(pickle.dumps(voc)) < 10 * len(words)
+    texts = pa.array([" ".join(f"w{int(x)}" for x in r.zipf(1.3, 500) % 100_000) for _ in range(400)])
+    d = spark.createDataFrame([(k, "en", t.as_py()) for k, t in enumerate(texts)], "doc_id long, lang string, text string").coalesce(1)
+    model = quality_lm.train_shards(d)
+    asked = model.vocabulary.value.dealt(*model.vocabulary.value.trigrams_of(texts)[1:])
+    assert sum(len(quality_lm.packed_rows(*x)) for _, x in asked) < 0.9 * sum(len(packed_by_bytes(*x)) for _, x in asked)
+
+
+def packed_by_bytes(v, doc, u, w, c):
+    """Columns sorted by trigram, compressed byte place by byte place."""
+    order = np.lexsort((doc, w, u, v))
+    data = b"".join(x[order].view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in (v, u, w, c, doc))
+    return pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
+
+
 def test_every_trusted_document_of_the_fold_is_counted(spark):
     d = docs(spark, [f"a b c{k}" for k in range(5000)] + ["x " * 60_000])
     texts, ids = quality_lm.training_texts(d, labels(spark, good=range(5001)))
