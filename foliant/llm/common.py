@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,8 @@ BATCH_BYTES = 1_000_000
 #: Rows and bytes that Spark sends to a Python worker at a time, at most.
 SENT_ROWS, SENT_BYTES = 2_000, 4_000_000
 
+T = TypeVar("T")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -86,6 +90,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(size, SENT_BYTES)
 
 
+def trimmed(result: T = None) -> T:
+    """result, after this process has given memory that it has freed back to the system.
+
+    Spark keeps Python workers for later tasks; several wait beside those that run, and each would hold the most that it ever had."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+    return result
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, column: str = "text", limit: int = BATCH_BYTES) -> DataFrame:
     """mapInArrow of make()'s function, which turns a batch into columns; make() runs once in each task.
 
@@ -94,9 +108,13 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
 
     def run(batches):
         f = make()
-        for batch in slices(batches, column, limit):
-            if batch.num_rows and (out := f(batch)) is not None:
-                yield pa.RecordBatch.from_pydict(out, schema=target)
+        try:
+            for batch in slices(batches, column, limit):
+                if batch.num_rows and (out := f(batch)) is not None:
+                    yield pa.RecordBatch.from_pydict(out, schema=target)
+        finally:
+            f = batch = out = None
+            trimmed()
 
     target = arrow_schema(df.sparkSession, schema)
     return df.mapInArrow(run, schema)

@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import MAX_BROADCAST_ROWS, arrow_map, arrow_schema, digest, maybe_broadcast, slices, stored, table
+from foliant.llm.common import MAX_BROADCAST_ROWS, arrow_map, arrow_schema, digest, maybe_broadcast, slices, stored, table, trimmed
 from foliant.llm.hashing import SPACE, U, Words, chain, mix
 
 ORDER = 3
@@ -201,7 +201,7 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> pa.Table:
         return pa.table({"w": w, "c": np.append(c[c > 1], c.sum())})
 
     parts = arrow_map(texts.select(text_col), count_words, "range int, data binary", text_col, REQUEST_BYTES)
-    return parts.groupBy("range").applyInArrow(summed, "w bigint, c bigint").toArrow()
+    return parts.groupBy("range").applyInArrow(lambda t: trimmed(summed(t)), "w bigint, c bigint").toArrow()
 
 
 def vocabulary_of(texts: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -469,7 +469,7 @@ def train_shards(texts: DataFrame, text_col: str = "text", shard_tokens: int = S
     schema = "shard int, trigrams binary, split binary, tri array<bigint>, bi array<bigint>, range array<int>, alone array<binary>"
     counted = arrow_schema(spark, schema)
     dealt = arrow_map(texts.select(text_col), deal, "shard int, trigrams binary", text_col, REQUEST_BYTES)
-    counts = stored(dealt.groupBy("shard").applyInArrow(count, schema), "counts")
+    counts = stored(dealt.groupBy("shard").applyInArrow(lambda t: trimmed(count(t)), schema), "counts")
     unigrams = counts.select(F.explode(F.arrays_zip("range", "alone")).alias("x")).select("x.range", "x.alone")
     unigrams = [unigrams.groupBy("range").applyInArrow(total_of, "w int, n bigint")]
     of_tri, of_bi = ([counts.agg(*(F.coalesce(F.sum(F.get(level, F.lit(k))), F.lit(0)) for k in range(4))).head()[k] for k in range(4)] for level in ("tri", "bi"))
@@ -636,8 +636,8 @@ def score_by_shards(docs: DataFrame, model: Shards, carried: tuple[str, ...] = (
     answered, scored = arrow_schema(docs.sparkSession, f"batch bigint, {tail}"), arrow_schema(docs.sparkSession, result)
     asked = docs.select(F.monotonically_increasing_id().alias("batch"), "text", *carried)
     asked = arrow_map(asked, ask, f"batch bigint, shard int, {tail}", limit=REQUEST_BYTES)
-    answers = asked.groupBy("shard").cogroup(model.counts.groupBy("shard")).applyInArrow(answer, f"batch bigint, {tail}")
-    return answers.groupBy("batch").applyInArrow(total, result)
+    answers = asked.groupBy("shard").cogroup(model.counts.groupBy("shard")).applyInArrow(lambda asked, counts: trimmed(answer(asked, counts)), f"batch bigint, {tail}")
+    return answers.groupBy("batch").applyInArrow(lambda parts: trimmed(total(parts)), result)
 
 
 def length_class(n: Column) -> Column:

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import pickle
 import re
+import sys
 import zlib
 from array import array
 from collections import Counter
@@ -279,6 +281,21 @@ def test_workers_hold_little_text_at_a_time(spark, monkeypatch):
     assert dict(held)["text"] <= 300_000 and dict(held)["text_a"] <= 150_000
 
 
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="reads a worker's memory from /proc")
+def test_waiting_workers_hold_no_freed_memory(spark):
+    def make():
+        def f(batch):
+            held = [np.ones(1000) for _ in range(30_000)]  # 240 MB, and the last block stays above all that is freed
+            sys.modules["sys"].held = held[-1]
+            return {"pid": [os.getpid()]}
+
+        return f
+
+    (row,) = common.arrow_map(docs(spark, ["a"]).select("text").coalesce(1), make, "pid long").collect()
+    with open(f"/proc/{row.pid}/smaps_rollup") as f:
+        assert int(re.search(r"\nAnonymous:\s+(\d+)", f.read())[1]) < 200_000
+
+
 def test_words_that_collide_are_not_alike(spark):
     a, b = twins()
     assert [r.class_id for r in near_dup.classes(docs(spark, [a, b, a])).orderBy("doc_id").collect()] == [0, 1, 0]
