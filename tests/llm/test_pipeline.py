@@ -43,6 +43,19 @@ def test_stages_equal_their_operators(spark, staged):
     assert {r.doc_id: r.text for r in staged[4].collect()} == {k: pii.masked(t, pii.all_spans(t, weights)[1]) for k, t in before.items()}
 
 
+def test_first_stage_uses_every_trusted_document(spark, monkeypatch):
+    from foliant.llm import quality_lm
+    from foliant.llm.common import table
+
+    train, limits, counted, held = quality_lm.train_shards, quality_lm.thresholds, [], []
+    monkeypatch.setattr(quality_lm, "train_shards", lambda texts: (counted.append(texts.count()), train(texts))[1])
+    monkeypatch.setattr(quality_lm, "thresholds", lambda scores, *more: (held.append(scores.count()), limits(scores, *more))[1])
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    corpus_pipeline.quality(spark, docs, DATA).count()
+    assert counted[0] > 0 and held[0] > 0
+    assert counted[0] + held[0] == docs.join(quality_lm.trusted(labels), "doc_id").count()
+
+
 def test_run_equals_stages(spark, staged):
     assert sorted(corpus_pipeline.run(spark, DATA).collect()) == sorted(staged[-1].collect())
 
