@@ -9,6 +9,7 @@ from foliant.functions.gates import card_gate
 from foliant.functions.text import user_turn
 from foliant.functions.verdicts import rank_scores
 from foliant.operators.assemble import answers, message
+from foliant.operators.rows import once
 
 MARGIN = 2.0
 
@@ -30,7 +31,7 @@ def best_worst(candidates: Column, scores: Column) -> tuple[Column, Column]:
 def ranked_pairs(df: DataFrame, margin: float = MARGIN) -> DataFrame:
     """i, reason, chosen, rejected, gap of rows with candidates and scores; the last three are null where there is a reason."""
     best, worst = best_worst(F.col("candidates"), F.col("scores"))
-    df = df.withColumn("reason", pair_reason(F.col("candidates"), F.col("scores"), margin))
+    df = once(df, reason=pair_reason(F.col("candidates"), F.col("scores"), margin))
     some = F.col("reason").isNull()
     return df.select("i", "reason", F.when(some, best).alias("chosen"), F.when(some, worst).alias("rejected"), F.when(some, F.array_max("scores") - F.array_min("scores")).cast("double").alias("gap"))
 
