@@ -46,7 +46,7 @@ def answers(responses: DataFrame) -> DataFrame:
     """i and content of batch responses."""
     from foliant.functions.text import parse_custom_id
 
-    content = F.try_element_at("response.body.choices", F.lit(1))["message"]["content"]
+    content = F.get("response.body.choices", F.lit(0))["message"]["content"]
     return responses.select(parse_custom_id(F.col("custom_id")).alias("i"), content.alias("content"))
 
 

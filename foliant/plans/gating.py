@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from foliant.functions import gates, text
 from foliant.functions.gates import FACETS, TOPICS
 from foliant.operators import assemble, stats
+from foliant.operators.rows import once
 from foliant.plans.declare import declarer
 from foliant.plans.fixtures import SQL_ANSWERS, SQL_CARDS, registered, responded, sql_hash, sql_pick, with_answers, with_cards, with_labels, with_topics
+from foliant.plans.shared import stored
 from foliant.streaming import gate as streaming
 
 QUERIES: dict = {}
@@ -49,7 +51,7 @@ def gate_facet_rejects(spark, sf_dir):
 
 @query(f"""with {_SQL_PARSED} select i, json_extract_string(v, '$.type') "type", json_extract_string(v, '$.time') "time", json_extract_string(v, '$.audience') audience, json_extract_string(v, '$.purpose') purpose, array_to_string(json_extract_string(v, '$.content_flags[*]'), ',') flags from gated where reason is null""")
 def gate_facet_values(spark, sf_dir):
-    d = answers(spark, sf_dir).select("i", gates.faceted_gate(F.col("content")).alias("g")).where("g.ok")
+    d = once(answers(spark, sf_dir).select("i", "content"), g=gates.faceted_gate(F.col("content"))).where("g.ok")
     return d.select("i", "g.value.type", "g.value.time", "g.value.audience", "g.value.purpose", F.array_join("g.value.content_flags", ",").alias("flags"))
 
 
@@ -64,7 +66,7 @@ def harvest_survivors(spark, sf_dir):
     """Responses, gated and joined with their documents; a fiftieth of the documents is missing from the manifest."""
     d = answers(spark, sf_dir)
     responses = d.select(text.custom_id("EN", F.col("i")).alias("custom_id"), responded(F.col("content")).alias("response"))
-    kept = assemble.answers(responses).select("i", gates.faceted_gate(F.col("content")).alias("g")).where("g.ok")
+    kept = stored(once(assemble.answers(responses), ok=gates.faceted_gate(F.col("content"))["ok"]).where("ok").select("i"), "kept")
     joined, orphans = assemble.with_manifest(kept, registered(spark, sf_dir).where("i % 50 != 3").select("i", "src"))
     return stats.counts(joined.select("src").unionAll(orphans.select(F.lit("orphan"))), "src")
 
@@ -108,7 +110,7 @@ gated as (select *, case when short then 'no_think' else f[1] end reason from fa
 
 @query(f"with {_SQL_LABELS} select reason, count(*) n from gated where reason is not null group by reason order by n desc, reason limit 12")
 def gate_ontology_rejects(spark, sf_dir):
-    d = with_labels(with_cards(registered(spark, sf_dir))).select(gates.ontology_gate(F.col("content"))["reason"].alias("reason"))
+    d = with_labels(registered(spark, sf_dir)).select(gates.ontology_gate(F.col("content"))["reason"].alias("reason"))
     return stats.reject_histogram(d)
 
 
@@ -117,7 +119,7 @@ tags as (select i, t, min(o) o from (select i, unnest([{", ".join(f"json_extract
 firsts as (select i, t, min(k) o from (select i, json_extract_string(l, '$.topic') t, k from ok) group by i, t)
 select i, topics, tags from (select i, string_agg(t, ',' order by o) topics from firsts group by i) join (select i, string_agg(t, ',' order by o) tags from tags group by i) using (i)""")
 def flat_view(spark, sf_dir):
-    d = with_labels(with_cards(registered(spark, sf_dir))).select("i", gates.ontology_gate(F.col("content")).alias("g")).where("g.ok")
+    d = once(with_labels(registered(spark, sf_dir)).select("i", "content"), g=gates.ontology_gate(F.col("content"))).where("g.ok")
     topics, tags = text.flat_view(F.col("g.value"))
     return d.select("i", F.array_join(topics, ",").alias("topics"), F.array_join(tags, ",").alias("tags"))
 
