@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import hashing
 from foliant.operators.rows import once
-from foliant.plans import evaluation
+from foliant.plans import evaluation, fixtures
 from foliant.plans.registry import QUERIES
 
 COSTLY = "regexp_extract_all("
@@ -53,3 +53,9 @@ def test_validated_rewards_read_the_text_once(spark, whole_plans, monkeypatch):
     monkeypatch.setattr(evaluation, "stored", lambda df, tag: (seen.update({tag: plan(df).count(COSTLY)}), real(df, tag))[1])
     QUERIES["reward_spearman"](spark, DATA)
     assert seen == {"cards": 1, "validated": 0}
+
+
+def test_flags_match_as_their_patterns(spark):
+    texts = ["", "@", "a@", "a@b", "a@b.", "x .@9.c", "@a.", "a@.b", "my token", "passwor", "copyright", "licens e", "secrets", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select([f(F.col("t"), p) for _, p in fixtures.FLAGS for f in (fixtures.found, lambda t, p: t.rlike(p))])
+    assert all(r[k] == r[k + 1] for r in df.collect() for k in range(0, len(r), 2))
